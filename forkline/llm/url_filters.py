@@ -78,7 +78,7 @@ def url_filters(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tupl
     entries = _stacks(clean).select(
         F.lit(None).cast(probes.schema["kept"].dataType).alias("kept"), "host", "path", F.lit(None).cast("long").alias("row"),
         F.array_join(flipped, ".").alias("domain"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"), "stack",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "stack",
     )
     sweep = Window.partitionBy("domain", "salt").orderBy("path", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = probes.unionByName(entries).withColumn("met", F.last("stack", ignorenulls=True).over(sweep)).where(F.col("row").isNotNull())
