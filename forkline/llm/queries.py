@@ -7,11 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forkline.llm.bpe import bpe_encode
+from forkline.llm.id_store import id_store
+from forkline.llm.media import media_columns
 from forkline.llm.ngram_join import ngram_join
+from forkline.llm.packing import packed
+from forkline.llm.quality import quality
 from forkline.llm.substring_dedup import substring_dedup
+from forkline.llm.threshold_search import threshold_search
+from forkline.llm.token_counts import token_counts
 from forkline.llm.url_filters import url_filters
 from forkline.session import partitions, tables
 
+
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 URL_RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -35,7 +51,52 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op6_substring_dedup)}
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text before and after two edits: its middle 24 characters give way to its source, its language goes in front."""
+    half = F.floor(F.length("text") / 2)
+    edits = F.array(
+        F.struct(half.alias("at"), F.lit(24).cast("long").alias("removed"), F.col("source").alias("inserted")),
+        F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("removed"), F.concat(F.col("lang"), F.lit(" ")).alias("inserted")),
+    )
+    out = token_counts(tables(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), edits)
+    return out.select("doc_id", "n_tokens", "n_leaves", "edited_tokens", "encoded_leaves", F.sha2("edited_text", 256).alias("edited_sha256"))
+
+
+def op4_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_search(tables(spark, sf_dir, "embeddings"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media_columns(tables(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("digest")).alias("payload_sha256"), F.crc32("tail").alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packed(tables(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = id_store(tables(spark, sf_dir, "documents"), tokenizer(WORD_BPE))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_encode(tables(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), decoded=True)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_ngram_join, op3_token_counts, op4_threshold_search, op5_media_columns, op6_substring_dedup, op7_packing, op8_id_store, op9_bpe, op10_quality,
+    )
+}
 
 SQL: dict[str, str] = {
     "op1_url_filters": r"""
