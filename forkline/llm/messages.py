@@ -16,23 +16,46 @@ from pyspark.sql import DataFrame
 SCHEMA = "bucket int, payload binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 #: Values that a map task gathers before it sends; bounds its memory.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+
+
+_KINDS = [np.dtype(k) for k in (np.uint8, np.uint16, np.uint32, np.uint64, np.int64, np.int32, np.float64)]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return np.array([a.nbytes for a in arrays], dtype=np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    """Arrays one after another, each with its type and size."""
+    head = np.array([a.nbytes * 16 + _KINDS.index(a.dtype) for a in arrays], dtype=np.int64)
+    return bytes([len(arrays)]) + head.tobytes() + b"".join(a.tobytes() for a in arrays)
 
 
-def unpack(payload: bytes, *kinds: type | np.dtype) -> list[np.ndarray]:
-    sizes = np.frombuffer(payload, dtype=np.int64, count=len(kinds)).tolist()
-    at, out = 8 * len(kinds), []
-    for size, kind in zip(sizes, kinds):
-        kind = np.dtype(kind)
+def unpack(payload: bytes) -> list[np.ndarray]:
+    head = np.frombuffer(payload, dtype=np.int64, count=payload[0], offset=1).tolist()
+    at, out = 1 + 8 * len(head), []
+    for entry in head:
+        kind, size = _KINDS[entry % 16], entry // 16
         out.append(np.frombuffer(payload, dtype=kind, count=size // kind.itemsize, offset=at))
         at += size
     return out
 
 
+def shrunk(values: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the narrowest type that holds them all."""
+    most = int(values.max(initial=0))
+    return values.astype(next(k for k in _KINDS[:4] if most <= np.iinfo(k).max))
+
+
+def owners(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending owners (int64) of values as three small arrays: the first, steps to the next ones, values of each."""
+    starts, ends = runs(owner)
+    who = owner[starts]
+    return who[:1], shrunk(np.diff(who).view(np.uint64)), shrunk(ends - starts)
+
+
+def owned(first: np.ndarray, steps: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct owners and how many values each has."""
+    return np.cumsum(np.concatenate((first, steps.astype(np.int64)))), counts.astype(np.int64)
+
+
 def batch(buckets: list[int], payloads: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())], schema=ARROW)
 
@@ -52,12 +75,6 @@ def by_bucket(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.searchsorted(at[order], np.arange(buckets + 1))
 
 
-def owned(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct neighbouring owners and how many values each has."""
-    starts, ends = runs(owner)
-    return owner[starts], (ends - starts).astype(np.int32)
-
-
 def dealt(messages: DataFrame) -> DataFrame:
     """Messages of a bucket together, one bucket after another in a task."""
     return messages.repartition("bucket").sortWithinPartitions("bucket")

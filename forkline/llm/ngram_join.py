@@ -1,7 +1,7 @@
 """N-gram Jaccard join: prefix filter, prefix tree, components of the links.
 
 1.  Every document becomes the set of 64-bit hashes of its word shingles.  Documents with equal sets are one class.
-2.  Shingles are counted in Spark (document frequency over classes).  Those of one class only cannot be shared and
+2.  Shingles are counted in Spark (document frequency).  Those of one set only cannot be shared and
     are dropped, but count in the set's size; the rest get one global order, rare before frequent.
 3.  Two sets can reach the threshold only if they share a shingle among the first ``n - ceil(t n) + 1`` of each.  Sets
     meet in the groups of these; sizes and positions in the order must allow the overlap.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,94 +55,100 @@ def _signatures(width: int):
     return run
 
 
-def _send(held: dict[int, np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Shingles of some sets, one message a bucket: owners, their set sizes, counts, shingles."""
-    owner = np.array(list(held), dtype=np.int64)
-    sizes = np.array([len(x) for x in held.values()], dtype=np.int32)
-    values = np.concatenate(list(held.values()))
-    index = np.repeat(np.arange(len(owner), dtype=np.int32), sizes)
+#: Sets that map tasks send are known by slots: task and number in it.  NEAR slots share a home; HELD are sent at once.
+NEAR, HELD = 64, 1 << 15
+#: Of a shingle's hash so many bits are sent: two sets are compared by them, and two sets have few shingles.
+SENT = U64((1 << 48) - 1)
+
+
+def _home(slots: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix((slots // NEAR).view(U64)) % U64(buckets)).astype(np.int64)
+
+
+def _send(held: dict[int, np.ndarray], first: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of some sets, one message a bucket: slots and shingles; and to the homes of the slots what they stand for."""
+    sizes = np.array([len(x) for x in held.values()], dtype=np.int64)
+    slots = first + np.arange(len(held), dtype=np.int64)
+    home = _home(slots, buckets)
+    classes = np.array(list(held), dtype=np.int64)
+    bounds = [(int(lo), int(hi)) for lo, hi in zip(*M.runs(home))]
+    yield M.batch([-1 - int(home[lo]) for lo, _ in bounds], [M.pack(slots[lo:hi], classes[lo:hi], sizes[lo:hi]) for lo, hi in bounds])
+    values, slots = np.concatenate(list(held.values())) & SENT, np.repeat(slots, sizes)
     order, bounds = M.by_bucket(values, buckets)
-    values, index = values[order], index[order]
-    at, out = [], []
-    for b in range(buckets):
-        lo, hi = bounds[b], bounds[b + 1]
-        if hi > lo:
-            who, counts = M.owned(index[lo:hi])
-            at.append(b)
-            out.append(M.pack(owner[who], sizes[who], counts, values[lo:hi]))
-    return M.batch(at, out)
+    low, high, slots = values[order].astype(np.uint32), (values[order] >> U64(32)).astype(np.uint16), slots[order]
+    filled = np.flatnonzero(np.diff(bounds)).tolist()
+    spans = [slice(bounds[b], bounds[b + 1]) for b in filled]
+    yield M.batch(filled, [M.pack(*M.owners(slots[at]), low[at], high[at]) for at in spans])
 
 
 def _shingles(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        total = 0
+        total, first = 0, TaskContext.get().partitionId() << 32
         for part in batches:
             for words in slices(part.column(0)):
                 for values in shingle_sets(words, width):
                     if len(values) and (cid := set_fingerprint(values)[0]) not in held:
                         held[cid] = values
                         total += len(values)
-                if total > M.FLUSH:
-                    yield _send(held, buckets)
+                if total > M.FLUSH or len(held) >= HELD:
+                    yield from _send(held, first, buckets)
+                    first += len(held)
                     held, total = {}, 0
         if held:
-            yield _send(held, buckets)
+            yield from _send(held, first, buckets)
 
     return run
 
 
 def _shared(buckets: int):
-    """Messages of shingles to messages of those in two sets or more, with a frequency class, dealt by owner."""
+    """Messages of shingles to messages of those in two sets or more, with a frequency class, to the homes of their slots.
+
+    A class that several tasks met counts as often; that raises the class of its shingles alike for all and drops nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
+        passed: list[tuple[int, bytes]] = []
 
-        def group(_: int, payloads: list[bytes]) -> None:
-            owners, sizes, values = [], [], []
+        def group(bucket: int, payloads: list[bytes]) -> None:
+            if bucket < 0:
+                passed.extend((-1 - bucket, p) for p in payloads)
+                return
+            slots, values = [], []
             for payload in payloads:
-                o, s, c, v = M.unpack(payload, np.int64, np.int32, np.int32, U64)
-                owners.append(np.repeat(o, c))
-                sizes.append(np.repeat(s, c))
-                values.append(v)
-            o, s, v = np.concatenate(owners), np.concatenate(sizes), np.concatenate(values)
-            del owners, sizes, values
+                *who, low, high = M.unpack(payload)
+                slots.append(np.repeat(*M.owned(*who)))
+                values.append(low | high.astype(U64) << U64(32))
+            s, v = np.concatenate(slots), np.concatenate(values)
+            del slots, values
             order = np.argsort(v)
-            sv = v[order]
-            again = np.zeros(len(sv) + 1, dtype=bool)
-            again[1:-1] = sv[1:] == sv[:-1]
+            ordered = v[order]
+            again = np.zeros(len(v) + 1, dtype=bool)
+            again[1:-1] = ordered[1:] == ordered[:-1]
             order = order[again[:-1] | again[1:]]  # in runs of two or more
-            o, s, v = o[order], s[order], v[order]
-            order = np.lexsort((o, v))
-            o, s, v = o[order], s[order], v[order]
-            new = np.ones(len(v), dtype=bool)
-            new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])  # the same class may come from several tasks
-            o, s, v = o[new], s[new], v[new]
+            s, v = s[order], v[order]
             starts, ends = M.runs(v)
-            df = np.repeat(ends - starts, ends - starts)
-            keep = df > 1
-            grade = np.minimum(8 * np.log2(df[keep]), 255).astype(np.uint8)
-            found.append((o[keep], s[keep], v[keep], grade))
-
-        def send() -> pa.RecordBatch:
-            o, s, v, g = (np.concatenate(x) for x in zip(*found))
-            found.clear()
-            order = np.argsort(o, kind="stable")
-            order = order[M.by_bucket(mix(o[order].view(U64)), buckets)[0]]
-            o, s, v, g = o[order], s[order], v[order], g[order]
-            home = mix(o.view(U64)) % U64(buckets)
-            at, out = [], []
-            for lo, hi in zip(*M.runs(home)):
-                starts, ends = M.runs(o[lo:hi])
-                at.append(int(home[lo]))
-                out.append(M.pack(o[lo:hi][starts], s[lo:hi][starts], (ends - starts).astype(np.int32), v[lo:hi], g[lo:hi]))
-            return M.batch(at, out)
+            grade = np.minimum(8 * np.log2(ends - starts), 255).astype(np.uint8)
+            found.append((s, v, np.repeat(grade, ends - starts)))
+
+        def send() -> Iterator[pa.RecordBatch]:
+            if passed:
+                yield M.batch(*map(list, zip(*passed)))
+                passed.clear()
+            if found:
+                s, v, g = (np.concatenate(x) for x in zip(*found))
+                found.clear()
+                home = _home(s, buckets)
+                order = np.lexsort((s, home))
+                s, v, g, home = s[order], v[order], g[order], home[order]
+                bounds = [(int(lo), int(hi)) for lo, hi in zip(*M.runs(home))]
+                yield M.batch([int(home[lo]) for lo, _ in bounds], [M.pack(*M.owners(s[lo:hi]), v[lo:hi], g[lo:hi]) for lo, hi in bounds])
 
         for _ in M.grouped(batches, group):
-            if sum(len(x[0]) for x in found) > M.FLUSH:
-                yield send()
-        if found:
-            yield send()
+            if sum(len(x[0]) for x in found) > M.FLUSH or len(passed) > 1000:
+                yield from send()
+        yield from send()
 
     return run
 
@@ -157,18 +164,28 @@ def _ordered(percent: int):
         rows: list[tuple] = []
 
         def group(_: int, payloads: list[bytes]) -> None:
-            parts = [M.unpack(p, np.int64, np.int32, np.int32, U64, np.uint8) for p in payloads]
-            o = np.concatenate([np.repeat(x[0], x[2]) for x in parts])
-            s = np.concatenate([np.repeat(x[1], x[2]) for x in parts])
-            v, g = np.concatenate([x[3] for x in parts]), np.concatenate([x[4] for x in parts])
-            order = np.lexsort((v, g, o))
-            o, s, v = o[order], s[order], v[order]
-            for lo, hi in zip(*M.runs(o)):
-                n, m = int(s[lo]), int(hi - lo)
+            known: dict[int, tuple[int, int]] = {}
+            slots, values, grades = [], [], []
+            for payload in payloads:
+                parts = M.unpack(payload)
+                if len(parts) == 3:
+                    known.update(zip(parts[0].tolist(), zip(parts[1].tolist(), parts[2].tolist())))
+                else:
+                    slots.append(np.repeat(*M.owned(*parts[:3])))
+                    values.append(parts[3])
+                    grades.append(parts[4])
+            if not slots:
+                return
+            s, v, g = np.concatenate(slots), np.concatenate(values), np.concatenate(grades)
+            order = np.lexsort((v, g, s))
+            s, v = s[order], v[order]
+            for lo, hi in zip(*M.runs(s)):
+                cid, n = known[int(s[lo])]
+                m = int(hi - lo)
                 prefix = n + percent * n // -100 + 1 - (n - m)  # n - ceil(percent n / 100) + 1, less those shared with none
                 if prefix > 0:
                     tokens = v[lo:hi]
-                    rows.append((int(o[lo]), n, n - m, tokens.tobytes(), tokens[:prefix].view(np.int64)))
+                    rows.append((cid, n, n - m, tokens.tobytes(), tokens[:prefix].view(np.int64)))
 
         def send() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), _SETS)], schema=_SETS)
@@ -340,12 +357,12 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str =
     """
     spark = docs.sparkSession
     ship(spark)
-    buckets = 8 * partitions(spark)
+    buckets = 4 * partitions(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = materialised(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, cid long"))
     sent = docs.select("text").mapInArrow(_shingles(width, buckets), M.SCHEMA)
     shared = M.dealt(sent).mapInArrow(_shared(buckets), M.SCHEMA)
-    sets = materialised(M.dealt(shared).mapInArrow(_ordered(percent), SETS))
+    sets = materialised(M.dealt(shared).mapInArrow(_ordered(percent), SETS).dropDuplicates(["cid"]))
     labels = _links(sets, percent).select(F.col("node").alias("cid"), "label")
     classes = materialised(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least")))
     classes = materialised(classes.join(labels, "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("label")))

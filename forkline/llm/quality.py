@@ -163,3 +163,20 @@ def quality(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -> DataF
     model = trained(known.where(~held_out(F.col("doc_id"))), labels, shrinkage)
     out = scored(known, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, model: Discriminant | None, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``least``, all columns as they are; every row without a model.
+
+    Texts are scored where they are read, so that nothing is shuffled.
+    """
+    ship(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            scores = [model.scores(statistics(words)) for words in slices(part.column(at))]
+            if scores:
+                yield part.filter(pa.array(np.concatenate(scores) >= least))
+
+    return docs if model is None else docs.mapInArrow(run, docs.schema)

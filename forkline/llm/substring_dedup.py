@@ -62,10 +62,8 @@ def _answers(owner: np.ndarray, arrays: tuple[np.ndarray, ...], buckets: int) ->
     owner, home, arrays = owner[order], home[order], tuple(a[order] for a in arrays)
     at, out = [], []
     for lo, hi in zip(*M.runs(home)):
-        who, counts = M.owned(owner[lo:hi])
         at.append(-1 - int(home[lo]) if kind else int(home[lo]))
-        sent = [a[lo:hi] for a in arrays]
-        out.append(M.pack(np.array([kind], dtype=np.int64), who, counts, *sent, *[np.zeros(0, np.int64)] * (1 - kind)))
+        out.append(M.pack(*M.owners(owner[lo:hi]), *(M.shrunk(a[lo:hi]) for a in arrays)))
     return at, out
 
 
@@ -105,15 +103,17 @@ def _send(parts: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.Reco
         who = owner[at][np.flatnonzero(np.concatenate(([True], (row[at][1:] != row[at][:-1]) | (start[at][1:] != start[at][:-1] + 1))))]
         yield M.batch(*_answers(who, (first, last), buckets))
     hashes, owner = hashes[sends], owner[sends]
+    if (owner[1:] < owner[:-1]).any():
+        order = np.argsort(owner, kind="stable")
+        hashes, owner = hashes[order], owner[order]
     order, bounds = M.by_bucket(hashes, buckets)
     hashes, owner = hashes[order], owner[order]
     at, out = [], []
     for b in range(buckets):
         lo, hi = bounds[b], bounds[b + 1]
         if hi > lo:
-            who, counts = M.owned(owner[lo:hi])
             at.append(b)
-            out.append(M.pack(who, counts, hashes[lo:hi]))
+            out.append(M.pack(*M.owners(owner[lo:hi]), hashes[lo:hi]))
     yield M.batch(at, out)
 
 
@@ -148,9 +148,9 @@ def _repeated(buckets: int):
             if bucket < 0:
                 passed.extend((-1 - bucket, p) for p in payloads)
                 return
-            parts = [M.unpack(p, np.int64, np.int32, U64) for p in payloads]
-            owner = np.concatenate([np.repeat(o, c) for o, c, _ in parts])
-            hashes = np.concatenate([h for _, _, h in parts])
+            parts = [M.unpack(p) for p in payloads]
+            owner = np.concatenate([np.repeat(*M.owned(*p[:3])) for p in parts])
+            hashes = np.concatenate([p[3] for p in parts])
             del parts
             order = np.argsort(hashes)
             ordered = hashes[order]
@@ -184,12 +184,13 @@ def _told(payloads: list[bytes]) -> dict[int, tuple[list[np.ndarray], list[np.nd
     """Answers by doc_id: hashes of repeated windows; intervals (first, last window)."""
     told: dict[int, tuple[list, list]] = {}
     for payload in payloads:
-        kind, who, counts, values, last = M.unpack(payload, np.int64, np.int64, np.int32, U64, np.int64)
-        if kind[0]:
-            values = np.stack((values.view(np.int64), last), axis=1)
+        first, steps, sizes, *values = M.unpack(payload)
+        who, counts = M.owned(first, steps, sizes)
+        kind = len(values) - 1
+        values = np.stack([v.astype(np.int64) for v in values], axis=1) if kind else values[0].astype(U64)
         ends = np.cumsum(counts)
         for d, lo, hi in zip(who.tolist(), (ends - counts).tolist(), ends.tolist()):
-            told.setdefault(d, ([], []))[int(kind[0])].append(values[lo:hi])
+            told.setdefault(d, ([], []))[kind].append(values[lo:hi])
     return told
 
 
@@ -266,7 +267,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", te
     """
     spark = docs.sparkSession
     ship(spark)
-    buckets = 8 * partitions(spark)
+    buckets = 4 * partitions(spark)
     carried = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(c) for c in carry]).alias("carried")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), carried)
     sent = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_windows(width, buckets), M.SCHEMA)
