@@ -142,10 +142,9 @@ def route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers whose suppliers are all among another's."""
-    orders = tables(spark, sf_dir, "orders").where("o_custkey % 10 = 0").select("o_custkey", F.col("o_orderkey").alias("l_orderkey"))
-    sets = tables(spark, sf_dir, "lineitem").join(orders, "l_orderkey").select("o_custkey", "l_suppkey")
-    return J.subset_join(sets, "o_custkey", "l_suppkey")
+    """Users whose kinds of events (type and hour) are all among another's."""
+    events = tables(spark, sf_dir, "events").where("user_id % 3 = 0").select("user_id", F.concat("event_type", (F.hour("ts") % 2).cast("string")).alias("kind"))
+    return J.subset_join(events, "user_id", "kind")
 
 
 def rect_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,10 +331,10 @@ z AS (SELECT call_id, route, len(a) = len(b) AS same, n,
 f1 AS (SELECT call_id, count(DISTINCT route) AS k, min(route) AS route FROM z WHERE same AND hit GROUP BY call_id),
 s1 AS (SELECT call_id, count(DISTINCT route) AS k, min(route) AS route FROM z WHERE NOT same AND hit AND n > 0 AND call_id NOT IN (SELECT call_id FROM f1) GROUP BY call_id)
 SELECT call_id, route, 'resolved' AS confidence FROM f1 WHERE k = 1 UNION ALL SELECT call_id, route, 'inferred' FROM s1 WHERE k = 1""",
-    "subset_join": """WITH s AS (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 0),
-o AS (SELECT DISTINCT o_custkey FROM s)
-SELECT a.o_custkey AS small, b.o_custkey AS large FROM o a, o b WHERE a.o_custkey <> b.o_custkey AND NOT EXISTS (
-  SELECT 1 FROM s x WHERE x.o_custkey = a.o_custkey AND NOT EXISTS (SELECT 1 FROM s y WHERE y.o_custkey = b.o_custkey AND y.l_suppkey = x.l_suppkey))""",
+    "subset_join": """WITH s AS (SELECT DISTINCT user_id, event_type || (hour(ts) % 2)::VARCHAR AS kind FROM events WHERE user_id % 3 = 0),
+o AS (SELECT DISTINCT user_id FROM s)
+SELECT a.user_id AS small, b.user_id AS large FROM o a, o b WHERE a.user_id <> b.user_id AND NOT EXISTS (
+  SELECT 1 FROM s x WHERE x.user_id = a.user_id AND NOT EXISTS (SELECT 1 FROM s y WHERE y.user_id = b.user_id AND y.kind = x.kind))""",
     "rect_overlap": """WITH b AS (SELECT p_partkey AS id, p_size::DOUBLE AS x0, p_size + 1.5 AS x1, floor(p_retailprice / 10) AS y0, floor(p_retailprice / 10) + 2.5 AS y1 FROM part)
 SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""",
     "crossing_count": """WITH s AS (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS until FROM events),
@@ -355,7 +354,7 @@ SELECT p_partkey, array_to_string(list_transform(words, lambda x: upper(x[1]) ||
     "route_label_parse": f"""WITH {_PAGES} SELECT page_id, CASE WHEN regexp_full_match('GET ' || path, '[A-Z]+ /\\S*') THEN 'GET' ELSE '' END AS method,
   CASE WHEN regexp_full_match('GET ' || path, '[A-Z]+ /\\S*') THEN path ELSE '' END AS route, array_to_string({_SEG.format("path")}, ',') AS segments FROM pg""",
     "path_params": rf"""WITH {_PAGES}, t AS (SELECT page_id, regexp_replace(regexp_replace(path, '^/([a-z]+)/', '/<str:lang>/'), '\d+', '{{id}}', 'g') AS p FROM pg)
-SELECT page_id, array_to_string(list_distinct([CASE WHEN contains(p, '<str:lang>') THEN 'lang' END, CASE WHEN contains(p, '{{id}}') THEN 'id' END]), ',') AS params, replace(p, '<str:lang>', '{{lang}}') AS openapi FROM t""",
+SELECT page_id, concat_ws(',', CASE WHEN contains(p, '<str:lang>') THEN 'lang' END, CASE WHEN contains(p, '{{id}}') THEN 'id' END) AS params, replace(p, '<str:lang>', '{{lang}}') AS openapi FROM t""",
     "clamp48": "SELECT doc_id, CASE WHEN length(text) > 48 THEN left(text, 47) || '…' ELSE text END AS clamped FROM documents",
     "word_clamp": r"""SELECT conv_id, turn, length(array_to_string(list_filter(regexp_split_to_array(trim(replace(string_split(text, chr(10))[1], chr(9), ' ')), '\s+'), lambda w: w <> '')[1:6], ' ')) AS n_chars FROM conversations""",
     "sql_table_extract": "SELECT 't_' || l_returnflag AS table_name, count(*) AS n FROM lineitem GROUP BY 1",
