@@ -121,15 +121,20 @@ def word_hashes(words: Words, fold: bool) -> np.ndarray:
     return mix((sums[words.ends] - sums[words.starts]) * down[words.starts] + (words.ends - words.starts).astype(U64))
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Rolling (Rabin-Karp) hash of each run of ``width`` word hashes; runs across documents are the caller's to skip."""
+def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Rolling (Rabin-Karp) polynomial of each run of ``width`` hashes; runs across documents are the caller's to skip."""
     n = len(hashes)
     if n < width:
         return np.zeros(0, dtype=U64)
     up, down = _WORD_POWERS.upto(n + 1)
     sums = np.zeros(n + 1, dtype=U64)
     np.cumsum(hashes * up[:n], dtype=U64, out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
+    return (sums[width:] - sums[:-width]) * down[: n - width + 1]
+
+
+def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """``rolled``, mixed so that all bits depend on all words."""
+    return mix(rolled(hashes, width))
 
 
 def sequence_hash(hashes: np.ndarray) -> np.uint64:

@@ -10,8 +10,8 @@ root over its files and the running count of ids.
 Reading.  Tasks parse recipe files and verify their roots; chunks are fetched by range reads and verified by digest.
 
 Recipe file: ``FKR1``, then for each document: flag and doc_id (``<Bq``; flag 1: null), number of ids and of chunks
-(``<QI``), then digest (16 bytes) and number of ids (``<I``) of each chunk.  Pack: ``FKP1``, then chunks, each zlib of the ids as
-little-endian integers of 16 bits if all fit, else of 32, the width standing first as one byte.
+(``<QI``), then digest (16 bytes) and number of ids (``<I``) of each chunk.  Pack: ``FKP1``, then chunks, each the bytes of an id and
+of all of them (``<BI``), then Zstandard of the ids as little-endian integers of 16 bits if all fit, else of 32.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,45 +28,54 @@ from pyspark.sql import functions as F
 
 from forkline.llm.bpe import text_slices
 from forkline.llm.files import NewFile, Readers, delete, located
-from forkline.llm.hashing import mix, window_hashes
+from forkline.llm.hashing import mix, rolled
 from forkline.llm.pieces import WORD_PIECES, library_encoder
 from forkline.session import materialised, new_folder, partitions, ship
 
 END = np.array([1], dtype="<u4").tobytes()
-WINDOW, LEAST, MEAN, MOST = 16, 256, 1024, 8192
+WINDOW, LEAST, MEAN, MOST = 16, 512, 2048, 16384
+ZSTD = pa.Codec("zstd", compression_level=1)
 PACK = 128 << 20
 RECIPES, PACKS = b"FKR1", b"FKP1"
 
 
-def cuts(ids: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[int]:
-    """Ends of the chunks of an id stream; ``mean`` is a power of two."""
-    n = len(ids)
-    if n <= least:
-        return [n]
-    hashes = window_hashes(mix(ids.astype(np.uint64)), WINDOW)
-    marks = (np.flatnonzero(hashes & np.uint64(mean - 1) == 0) + WINDOW).tolist()
-    out, at = [], 0
-    for mark in marks:
-        while mark - at > most:
+def cuts(streams: list[bytes], least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[list[int]]:
+    """Ends of the chunks of each id stream (32-bit ids); ``mean`` is a power of two.
+
+    The rolling hash runs over all streams laid end to end; marks whose window begins before the stream are left out.
+    """
+    sizes = np.array([len(s) // 4 for s in streams])
+    ends = np.cumsum(sizes)
+    ids = np.frombuffer(b"".join(streams), dtype="<u4")
+    hashes = rolled(mix(ids.astype(np.uint64)), WINDOW)
+    marks = np.flatnonzero(hashes >> np.uint64(64 - mean.bit_length() + 1) == 0) + WINDOW
+    spans = np.searchsorted(marks, ends - sizes + WINDOW), np.searchsorted(marks, ends)
+    out = []
+    for n, start, lo, hi in zip(sizes.tolist(), (ends - sizes).tolist(), spans[0].tolist(), spans[1].tolist()):
+        own, at = [], 0
+        for mark in (marks[lo:hi] - start).tolist() if n > least else ():
+            while mark - at > most:
+                at += most
+                own.append(at)
+            if mark - at >= least and mark < n:
+                at = mark
+                own.append(at)
+        while n - at > most:
             at += most
-            out.append(at)
-        if mark - at >= least and mark < n:
-            at = mark
-            out.append(at)
-    while n - at > most:
-        at += most
-        out.append(at)
-    return [*out, n]
+            own.append(at)
+        out.append([*own, n])
+    return out
 
 
 def squeezed(ids: bytes) -> bytes:
     values = np.frombuffer(ids, dtype="<u4")
     small = values.astype("<u2") if values.max(initial=0) < 1 << 16 else values
-    return bytes([small.itemsize]) + zlib.compress(small.tobytes(), 1)
+    return struct.pack("<BI", small.itemsize, small.nbytes) + ZSTD.compress(small.tobytes(), asbytes=True)
 
 
 def unsqueezed(data: bytes) -> bytes:
-    return np.frombuffer(zlib.decompress(data[1:]), dtype=f"<u{data[0]}").astype("<u4").tobytes()
+    width, size = struct.unpack_from("<BI", data)
+    return np.frombuffer(ZSTD.decompress(data[5:], size, asbytes=True), dtype=f"<u{width}").astype("<u4").tobytes()
 
 
 def digest_of(data: bytes) -> bytes:
@@ -95,10 +103,10 @@ def _chunked(path: str, folder: str):
             at = 0
             for texts in text_slices(part.column(1)):
                 sizes, recipes, fresh = [], [], []
-                for ids in encoder.ids(texts):
-                    ids += END
+                streams = [ids + END for ids in encoder.ids(texts)]
+                for ids, ends in zip(streams, cuts(streams)):
                     start, chunks, new = 0, [], []
-                    for end in cuts(np.frombuffer(ids, dtype="<u4")):
+                    for end in ends:
                         chunk = ids[4 * start : 4 * end]
                         digest = digest_of(chunk)
                         chunks.append({"digest": digest, "size": end - start})
@@ -270,7 +278,8 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     manifest = spark.read.parquet(f"{folder}/manifest").select("file", "start", "root").repartition(partitions(spark), "file")
     chunks = manifest.mapInArrow(_parsed, "file string, row long, doc_id long, start long, n_tokens long, seq int, digest binary, size int")
     index = spark.read.parquet(f"{folder}/index").withColumnRenamed("digest", "key")
-    placed = chunks.join(index, F.col("digest") == F.col("key")).drop("key", "size")
+    # The size of what the recipes hold is not known from the manifest's: no broadcast.
+    placed = chunks.join(index.hint("merge"), F.col("digest") == F.col("key")).drop("key", "size")
     rows = placed.repartition("file", "row").sortWithinPartitions("file", "row", "seq")
     return rows.mapInArrow(_rebuilt, "doc_id long, start long, n_tokens long, ids binary")
 

@@ -28,6 +28,7 @@ WORD_PIECES = re.compile(rf"'(?:[stmdSTMD]|[lL][lL]|[vV][eE]|[rR][eE])|[{LETTER}
 #: Pieces that a worker remembers; rarer ones are encoded again with each batch.
 REMEMBERED = 700_000
 LETTERS = re.compile(f" ?[{LETTER}]+")
+LATIN = re.compile(r"[\x00-\xff]*+")
 JOINED = 64
 
 
@@ -39,16 +40,21 @@ class PieceCache:
 
     def ids(self, documents: list[list[str]]) -> list[bytes]:
         """Ids of each document, given as its pieces."""
-        new = list(set(chain.from_iterable(documents)).difference(self.known))
-        known = self.known
-        if new:
+        flat = list(chain.from_iterable(documents))
+        ids = list(map(self.known.get, flat))
+        missing = [k for k, v in enumerate(ids) if v is None]
+        if missing:
+            new = list({flat[k] for k in missing})
             found = dict(zip(new, self.encode(new)))
-            if len(known) + len(found) <= REMEMBERED:
-                known.update(found)
-            else:
-                get = lambda p: known.get(p) or found[p]
-                return [b"".join(map(get, pieces)) for pieces in documents]
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in documents]
+            for k in missing:
+                ids[k] = found[flat[k]]
+            if len(self.known) + len(found) <= REMEMBERED:
+                self.known.update(found)
+        out, at = [], 0
+        for n in map(len, documents):
+            out.append(b"".join(ids[at : at + n]))
+            at += n
+        return out
 
 
 class LibraryEncoder:
@@ -65,6 +71,8 @@ class LibraryEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = PieceCache(self._encode)
 
+        self.lowers = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("WORD ÀÉ", "word àé")]
+        self.lowers = self.lowers[0] == self.lowers[1]
         self.separator = "\x01"
         self.border = self.tokenizer.encode("a\x01a", add_special_tokens=False).ids[1]
         joined = self.tokenizer.encode("a\x01 a\x01a", add_special_tokens=False).ids
@@ -73,7 +81,10 @@ class LibraryEncoder:
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Pieces of letters go ``JOINED`` to a call, a control character between them, which is one id and joins nothing."""
         out: list[bytes] = [b""] * len(pieces)
-        plain = [k for k, p in enumerate(pieces) if self.joins and LETTERS.fullmatch(p)]
+        plain: list[int] = []
+        rest: list[int] = []
+        for k, p in enumerate(pieces):
+            (plain if self.joins and LETTERS.fullmatch(p) else rest).append(k)
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             texts = [self.separator.join([pieces[k] for k in some[i : i + JOINED]]) for i in range(0, len(some), JOINED)]
@@ -84,15 +95,19 @@ class LibraryEncoder:
                 for k, end in zip(some[i * JOINED : (i + 1) * JOINED], ends):
                     out[k] = data[4 * start : 4 * end]
                     start = end + 1
-        rest = [k for k, p in enumerate(pieces) if not (self.joins and LETTERS.fullmatch(p))]
         for k, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)):
             out[k] = np.array(e.ids, dtype="<u4").tobytes()
         return out
 
+    def folded(self, text: str) -> str:
+        """Where the tokenizer lower-cases, a text of Latin-1 alone may be lower-cased at once, and has fewer distinct pieces."""
+        return text.lower() if self.lowers and LATIN.fullmatch(text) else text
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of little-endian unsigned 32-bit integers.  Texts that name a special token go whole."""
         odd = [k for k, text in enumerate(texts) if any(s in text for s in self.special)]
-        rest = [self.pattern.findall(text) for text in texts] if not odd else [[] if k in set(odd) else self.pattern.findall(t) for k, t in enumerate(texts)]
+        whole = set(odd)
+        rest = [[] if k in whole else self.pattern.findall(self.folded(t)) for k, t in enumerate(texts)]
         out = self.cache.ids(rest)
         for k, ids in zip(odd, self._encode([texts[k] for k in odd]) if odd else ()):
             out[k] = ids
