@@ -2,7 +2,7 @@
 
 1.  Map tasks hash every window of ``width`` words.  Of a hash they send the least doc_id among the documents they hold
     (pre-aggregation: a passage that a third of all documents share comes once from each task, not once from each
-    document) and note the windows of the others as repeated.
+    document) and answer the others themselves.
 2.  Reduce tasks find the least doc_id of each hash overall and answer the documents of the rest.
 3.  Documents meet their answers by a hash of doc_id; repeated windows merge into maximal intervals of words, which go.
 
@@ -43,65 +43,41 @@ def _home(doc_ids: np.ndarray, buckets: int) -> np.ndarray:
     return np.mod(spark_xxhash64(doc_ids).view(np.int64), buckets)
 
 
-def windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document (index in the slice) and first word (in the document) of every window."""
+def windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document (index in the slice) of every window."""
     counts = np.maximum(np.diff(words.first) - width + 1, 0)
     document = np.repeat(np.arange(words.documents), counts)
     start = np.arange(len(document)) - np.repeat(np.cumsum(counts) - counts, counts)
     hashes = window_hashes(word_hashes(words, fold=False), width)
-    return hashes[words.first[document] + start], document, start
+    return hashes[words.first[document] + start], document
 
 
-def _answers(owner: np.ndarray, arrays: tuple[np.ndarray, ...], buckets: int) -> tuple[list[int], list[bytes]]:
-    """Messages to the homes of the owners: one array is hashes of windows, two are first and last windows of intervals.
-
-    Intervals are sent with the windows and only pass through the reduce tasks: their bucket is negative."""
-    kind = len(arrays) - 1
+def _answers(owner: np.ndarray, hashes: np.ndarray, buckets: int, sign: int = 0) -> tuple[list[int], list[bytes]]:
+    """Messages of repeated windows to the homes of their documents; with ``sign`` -1 under negative buckets, for tasks to pass on."""
     home = _home(owner, buckets)
     order = np.lexsort((owner, home))
-    owner, home, arrays = owner[order], home[order], tuple(a[order] for a in arrays)
-    at, out = [], []
-    for lo, hi in zip(*M.runs(home)):
-        at.append(-1 - int(home[lo]) if kind else int(home[lo]))
-        out.append(M.pack(*M.owners(owner[lo:hi]), *(M.shrunk(a[lo:hi]) for a in arrays)))
-    return at, out
-
-
-def _intervals(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of consecutive windows of one owner (ordered by owner and start), as owner, first and last start."""
-    if not len(owner):
-        return owner, start, start
-    new = np.ones(len(owner), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(owner)) - 1
-    return owner[first], start[first].astype(np.int64), start[last].astype(np.int64)
+    owner, home, hashes = owner[order], home[order], hashes[order]
+    bounds = [(int(lo), int(hi)) for lo, hi in zip(*M.runs(home))]
+    at = [-1 - int(home[lo]) if sign else int(home[lo]) for lo, _ in bounds]
+    return at, [M.pack(*M.owners(owner[lo:hi]), hashes[lo:hi]) for lo, hi in bounds]
 
 
 def _send(parts: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
-    hashes, owner, start, row = (np.concatenate(x) for x in zip(*parts))
+    hashes, owner = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(hashes)
-    sorted_hashes = hashes[order]
-    starts, ends = M.runs(sorted_hashes)
+    ordered = hashes[order]
+    again = np.zeros(len(hashes) + 1, dtype=bool)
+    again[1:-1] = ordered[1:] == ordered[:-1]
+    order = order[again[:-1] | again[1:]]  # windows met more than once
     sends = np.ones(len(hashes), dtype=bool)
-    local = np.zeros(len(hashes), dtype=bool)
-    if len(starts) < len(hashes):
-        again = np.zeros(len(hashes) + 1, dtype=bool)
-        again[1:-1] = sorted_hashes[1:] == sorted_hashes[:-1]
-        order = order[again[:-1] | again[1:]]  # windows met more than once
+    if len(order):
         order = order[np.lexsort((owner[order], hashes[order]))]
         starts, ends = M.runs(hashes[order])
-        least = np.repeat(owner[order][starts], ends - starts)
         sends[order] = False
         sends[order[starts]] = True
-        local[order] = owner[order] > least
-    if local.any():
-        at = np.flatnonzero(local)
-        at = at[np.lexsort((start[at], row[at]))]
-        # rows with one doc_id are kept apart, so that their intervals do not run together
-        _, first, last = _intervals(row[at], start[at])
-        who = owner[at][np.flatnonzero(np.concatenate(([True], (row[at][1:] != row[at][:-1]) | (start[at][1:] != start[at][:-1] + 1))))]
-        yield M.batch(*_answers(who, (first, last), buckets))
+        late = order[owner[order] > np.repeat(owner[order][starts], ends - starts)]
+        if len(late):
+            yield M.batch(*_answers(owner[late], hashes[late], buckets, -1))
     hashes, owner = hashes[sends], owner[sends]
     if (owner[1:] < owner[:-1]).any():
         order = np.argsort(owner, kind="stable")
@@ -120,17 +96,16 @@ def _send(parts: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.Reco
 def _windows(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
-        total = rows = 0
+        total = 0
         for part in batches:
             ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for words in slices(part.column(1)):
-                hashes, document, start = windows(words, width)
-                parts.append((hashes, ids[words.begin + document], start.astype(np.int32), (rows + document).astype(np.int32)))
-                rows += words.documents
+                hashes, document = windows(words, width)
+                parts.append((hashes, ids[words.begin + document]))
                 total += len(hashes)
                 if total > M.FLUSH:
                     yield from _send(parts, buckets)
-                    parts, total, rows = [], 0, 0
+                    parts, total = [], 0
         if total:
             yield from _send(parts, buckets)
 
@@ -138,7 +113,7 @@ def _windows(width: int, buckets: int):
 
 
 def _repeated(buckets: int):
-    """Messages of windows to answers for the documents that are not the first with one; local answers go on."""
+    """Messages of windows to answers for the documents that are not the first with one; answers that map tasks gave go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -170,7 +145,7 @@ def _repeated(buckets: int):
             if found:
                 owner, hashes = (np.concatenate(x) for x in zip(*found))
                 found.clear()
-                yield M.batch(*_answers(owner, (hashes,), buckets))
+                yield M.batch(*_answers(owner, hashes, buckets))
 
         for _ in M.grouped(batches, group):
             if sum(len(x[0]) for x in found) > M.FLUSH or len(passed) > 1000:
@@ -180,17 +155,15 @@ def _repeated(buckets: int):
     return run
 
 
-def _told(payloads: list[bytes]) -> dict[int, tuple[list[np.ndarray], list[np.ndarray]]]:
-    """Answers by doc_id: hashes of repeated windows; intervals (first, last window)."""
-    told: dict[int, tuple[list, list]] = {}
+def _told(payloads: list[bytes]) -> dict[int, list[np.ndarray]]:
+    """Hashes of repeated windows by doc_id."""
+    told: dict[int, list[np.ndarray]] = {}
     for payload in payloads:
-        first, steps, sizes, *values = M.unpack(payload)
+        first, steps, sizes, hashes = M.unpack(payload)
         who, counts = M.owned(first, steps, sizes)
-        kind = len(values) - 1
-        values = np.stack([v.astype(np.int64) for v in values], axis=1) if kind else values[0].astype(U64)
         ends = np.cumsum(counts)
         for d, lo, hi in zip(who.tolist(), (ends - counts).tolist(), ends.tolist()):
-            told.setdefault(d, ([], []))[kind].append(values[lo:hi])
+            told.setdefault(d, []).append(hashes[lo:hi])
     return told
 
 
@@ -224,24 +197,18 @@ def _apply(part: pa.RecordBatch, told: dict, width: int) -> pa.RecordBatch:
     for words in slices(part.column(4)):
         first = words.first.tolist()
         mine = [ids[words.begin + d] for d in range(words.documents)]
-        hashes = window_hashes(word_hashes(words, fold=False), width) if any(told.get(d, ((),))[0] for d in mine) else None
+        hashes = window_hashes(word_hashes(words, fold=False), width) if any(d in told for d in mine) else None
         for d, doc_id in enumerate(mine):
             a, b = first[d], first[d + 1]
             all_words = words.data[words.offsets[d] : words.offsets[d + 1]].tobytes().split()
-            depth = None
+            gone = np.zeros(b - a, dtype=bool)
             if doc_id in told and b - a >= width:
-                repeated, ranges = told[doc_id]
+                at = np.flatnonzero(np.isin(hashes[a : b - width + 1], np.concatenate(told[doc_id])))
                 depth = np.zeros(b - a + 1, dtype=np.int32)
-                if repeated:
-                    at = np.flatnonzero(np.isin(hashes[a : b - width + 1], np.concatenate(repeated)))
-                    np.add.at(depth, at, 1)
-                    np.add.at(depth, at + width, -1)
-                for r in ranges:
-                    r = r[r[:, 1] + width <= b - a]
-                    np.add.at(depth, r[:, 0], 1)
-                    np.add.at(depth, r[:, 1] + width, -1)
+                depth[at] += 1
+                depth[at + width] -= 1
                 gone = np.cumsum(depth[:-1]) > 0
-            if depth is None or not gone.any():
+            if not gone.any():
                 n_removed.append(0)
                 spans.append([])
                 kept.append(b" ".join(all_words))
@@ -260,7 +227,7 @@ def _apply(part: pa.RecordBatch, told: dict, width: int) -> pa.RecordBatch:
 def substring_dedup(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, spans (removed words, start to end), kept_text, carried.
 
-    ``kept_text`` is the words that stay, joined by one space; ``carried`` a struct of the columns ``carry``.  Words are
+    ``kept_text`` is the words that stay, joined by one space; ``carried`` a struct of the columns ``carry`` as c0, c1 and so on.  Words are
     compared as they are.  A null text has no words; texts shorter than ``width`` words lose nothing; of equal texts
     that of the least doc_id stays whole, and rows with one doc_id do not count against each other, but are judged
     alike.  A row with null doc_id is returned whole and takes no part.  An empty table gives an empty result.
@@ -268,7 +235,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", te
     spark = docs.sparkSession
     ship(spark)
     buckets = 4 * partitions(spark)
-    carried = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(c) for c in carry]).alias("carried")
+    carried = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]).alias("carried")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), carried)
     sent = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_windows(width, buckets), M.SCHEMA)
     answers = M.dealt(sent).mapInArrow(_repeated(buckets), M.SCHEMA)
