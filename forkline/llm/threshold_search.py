@@ -70,7 +70,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> np.ndarray:
     at = np.flatnonzero(ids != own)
     if len(at) > 4 * k:
         at = at[scores[at] >= np.partition(scores[at], -k)[-k]]
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+    return at[np.lexsort((ids[at], ~scores[at]))][:k]
 
 
 def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

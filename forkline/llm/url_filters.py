@@ -84,7 +84,7 @@ def url_filters(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tupl
     met = probes.unionByName(entries).withColumn("met", F.last("stack", ignorenulls=True).over(sweep)).where(F.col("row").isNotNull())
     active = F.filter("met", lambda r: F.startswith(F.col("path"), r["inner"]))
     suffix = F.array_join(F.reverse(F.split("domain", r"\.")), ".")
-    top = F.element_at(active, -1)
+    top = F.try_element_at(active, F.lit(-1))
     found = met.withColumn(
         "hit",
         F.when(F.size(active) > 0, F.struct((F.length(suffix) + top["size"]).alias("size"), F.length(suffix).alias("host_size"), F.concat(suffix, top["inner"]).alias("rule"), top["verdict"].alias("verdict"))),
