@@ -42,11 +42,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A text that loses words is its other words joined by one space, and n_chars their length; other rows stay as they are.
     """
     out = substring_dedup(docs, carry=tuple(docs.columns))
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("carried.text"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("carried.n_chars"))
-    return out.select(*[new.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
+    old = {c: F.col(f"carried.c{k}") for k, c in enumerate(docs.columns)}
+    new = {"text": F.col("kept_text")} | ({"n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in old else {})
+    return out.select(*[F.when(F.col("n_removed") > 0, new[c]).otherwise(o).alias(c) if c in new else o.alias(c) for c, o in old.items()])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
