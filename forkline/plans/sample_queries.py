@@ -7,6 +7,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forkline.operators import flow as W
+from forkline.operators import slicing
 from forkline.plans.analysis import Analysis
 from forkline.plans.sample import sources
 
@@ -67,6 +69,52 @@ def component_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _analysis(spark).pillars.where("hub + authority > 0").select("node", "hub", "authority")
 
 
+@lru_cache(maxsize=1)
+def _flow(spark: SparkSession) -> W.Flow:
+    return W.condensed(_analysis(spark))
+
+
+@lru_cache(maxsize=1)
+def _members(spark: SparkSession) -> DataFrame:
+    flow = _flow(spark)
+    return slicing.members(flow.edges, flow.nodes.where("kind = 'entry'").select(F.col("id").alias("entry")))
+
+
+def flow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flow(spark).nodes.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flow(spark).edges.select("source", "target", "kind", "arm_label", "confidence")
+
+
+def flow_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes or edges break a condition."""
+    return W.problems(_flow(spark)).agg(F.count("*").alias("n"))
+
+
+def slice_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six nodes of each slice."""
+    flow = _flow(spark)
+    return slicing.chosen(_members(spark), flow.edges, flow.nodes, 6).select("entry", "node", "place")
+
+
+def slice_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flow = _flow(spark)
+    kept = slicing.chosen(_members(spark), flow.edges, flow.nodes, 6)
+    return slicing.hosted(_members(spark), flow.edges, kept)
+
+
+def slice_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flow, found = _flow(spark), _members(spark)
+    inner = slicing.acyclic(slicing.inner_edges(flow.edges, found))
+    return W.tree_layout(W.forest(inner, found), found)
+
+
+def layout_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.overlaps(slice_layout(spark, sf_dir), _flow(spark).nodes).agg(F.count("*").alias("n"))
+
+
 def _values(columns: str, rows: list[tuple]) -> str:
     say = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)}) AS t({columns})"
@@ -102,7 +150,9 @@ SQL = {
         *(("stock.api.item", f, d) for f, d in [("stock.api.item", 0), ("stock.api.lookup", 1), ("stock.api.zero", 2), ("stock.api.many", 2)]),
     ]),
     "endpoint_catalog": _values("entry, label, route_count", [("entry:stock.api.item", "GET /stock/items/{item}", 1), ("entry:group:shop.orders", "Orders · 2 routes", 2)]),
+    "flow_problems": "SELECT 0 AS n",
+    "layout_overlaps": "SELECT 0 AS n",
     "implementations": _values("base, cls", [(f"{S}.Channel", f"{S}.Notifier"), (f"{S}.Channel", f"{S}.Silent")]),
 }
 
-QUERIES = {f.__name__: f for f in (parse_functions, resolve_calls, external_calls, fork_verdicts, route_entries, stitch_links, effect_sites, endpoint_slice, endpoint_catalog, implementations, component_pillars)}
+QUERIES = {f.__name__: f for f in (parse_functions, resolve_calls, external_calls, fork_verdicts, route_entries, stitch_links, effect_sites, endpoint_slice, endpoint_catalog, implementations, component_pillars, flow_nodes, flow_edges, flow_problems, slice_budget, slice_hosts, slice_layout, layout_overlaps)}
