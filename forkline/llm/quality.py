@@ -175,8 +175,7 @@ def kept(docs: DataFrame, model: Discriminant | None, least: float = 0.5, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            scores = [model.scores(statistics(words)) for words in slices(part.column(at))]
-            if scores:
-                yield part.filter(pa.array(np.concatenate(scores) >= least))
+            for words in slices(part.column(at)):
+                yield part.slice(words.begin, words.documents).filter(pa.array(model.scores(statistics(words)) >= least))
 
     return docs if model is None else docs.mapInArrow(run, docs.schema)

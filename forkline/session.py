@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+#: Spark's own bound on an Arrow batch, and ours: texts are long, and a task holds several copies of a batch.
+BATCH, DEFAULT, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", "64MB", "8MB"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, where neither PYTHONPATH nor the working folder does."""
+    """Let Python workers import this package, where neither PYTHONPATH nor the working folder does, and bound Arrow batches
+    to ``SMALL``, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH, None) in (DEFAULT, "67108864b", "67108864", None):
+        spark.conf.set(BATCH, SMALL)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
