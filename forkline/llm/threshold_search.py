@@ -79,7 +79,7 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
     order = np.argsort(rows, axis=0, kind="stable")
     small = np.take_along_axis(rows, order, axis=0)
     active, depth = np.arange(len(queries)), 8
-    while len(active) and depth * d * 2 < n:
+    while len(active) and depth * max(d, 1) * 2 < n:
         reached = np.maximum(queries[active], 0) @ small[n - depth].astype(np.int64) + np.minimum(queries[active], 0) @ small[depth - 1].astype(np.int64)
         left = []
         for q, bound in zip(active.tolist(), reached.tolist()):
