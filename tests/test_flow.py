@@ -76,7 +76,12 @@ def test_outer_targets_and_closing(spark, graphs):
 
 
 def test_problems_are_found(spark, graphs):
-    _, g = graphs
-    assert flow.problems(g).count() == 0
+    pairs, g = graphs
+    ids = {x for p in pairs for x in p}
+    seen = {i for i in ids if i[0] == "e"} | (ids - {b for _, b in pairs})
+    while more := {b for a, b in pairs if a in seen} - seen:
+        seen |= more
+    stranded = {("unreachable", i) for i in ids - seen}  # cycles that no root leads to
+    assert stranded and {(r.rule, r.id) for r in flow.problems(g).collect()} == stranded
     bad = flow.Flow(g.nodes.union(g.nodes.where("id = 'e0'")), g.edges.union(g.edges.limit(1).withColumn("target", F.lit("nowhere"))))
-    assert {r.rule for r in flow.problems(bad).collect()} == {"dangling", "repeated"}
+    assert {(r.rule, r.id) for r in flow.problems(bad).collect()} == stranded | {("dangling", "nowhere"), ("repeated", "e0")}
