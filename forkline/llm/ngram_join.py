@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from forkline.llm import messages as M
 from forkline.llm.components import components
 from forkline.llm.hashing import mix, set_fingerprint, shingle_sets, slices
+from forkline.llm.memory import tidy
 from forkline.session import materialised, partitions, ship
 
 U64 = np.uint64
@@ -307,7 +308,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     queries = pairs.select("a", "salt").distinct().join(known, F.col("a") == F.col("cid")).select("a", "salt", F.lit(0).alias("kind"), "cid", "n", "tokens")
     others = pairs.join(known, F.col("b") == F.col("cid")).select("a", "salt", F.lit(1).alias("kind"), "cid", "n", "tokens")
     rows = queries.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return materialised(rows.mapInArrow(_trees(percent), "a long, b long"))
+    return materialised(rows.mapInArrow(tidy(_trees(percent)), "a long, b long"))
 
 
 def _fits(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
@@ -359,10 +360,10 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str =
     ship(spark)
     buckets = 4 * partitions(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialised(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, cid long"))
-    sent = docs.select("text").mapInArrow(_shingles(width, buckets), M.SCHEMA)
-    shared = M.dealt(sent).mapInArrow(_shared(buckets), M.SCHEMA)
-    sets = materialised(M.dealt(shared).mapInArrow(_ordered(percent), SETS).dropDuplicates(["cid"]))
+    rows = materialised(docs.mapInArrow(tidy(_signatures(width)), "doc_id long, n_shingles long, cid long"))
+    sent = docs.select("text").mapInArrow(tidy(_shingles(width, buckets)), M.SCHEMA)
+    shared = M.dealt(sent).mapInArrow(tidy(_shared(buckets)), M.SCHEMA)
+    sets = materialised(M.dealt(shared).mapInArrow(tidy(_ordered(percent)), SETS).dropDuplicates(["cid"]))
     labels = _links(sets, percent).select(F.col("node").alias("cid"), "label")
     classes = materialised(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least")))
     classes = materialised(classes.join(labels, "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("label")))

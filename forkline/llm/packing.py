@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forkline.llm.bpe import text_slices
+from forkline.llm.memory import tidy
 from forkline.llm.pieces import BYTE_PIECES, library_encoder
 from forkline.session import ship
 
 CAPACITY = 2048
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 END = np.array([1], dtype="<u4").tobytes()
 #: Sequences of least cost that are tried before a piece is cut.
 TRIES = 16
@@ -112,4 +113,4 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, linear: float =
         if ids:
             yield flush(ids, encoded, first)[0]
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), SCHEMA)

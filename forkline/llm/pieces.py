@@ -26,7 +26,7 @@ BYTE_PIECES = re.compile(
 WORD_PIECES = re.compile(rf"'(?:[stmdSTMD]|[lL][lL]|[vV][eE]|[rR][eE])|[{LETTER}]++{PLAIN}|[0-9]++{PLAIN}|[{MARK}]++{PLAIN}|[^{SPACE}]+")
 
 #: Pieces that a worker remembers; rarer ones are encoded again with each batch.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 LETTERS = re.compile(f" ?[{LETTER}]+")
 LATIN = re.compile(r"[\x00-\xff]*+")
 JOINED = 64
@@ -95,8 +95,10 @@ class LibraryEncoder:
                 for k, end in zip(some[i * JOINED : (i + 1) * JOINED], ends):
                     out[k] = data[4 * start : 4 * end]
                     start = end + 1
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)):
-            out[k] = np.array(e.ids, dtype="<u4").tobytes()
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)):
+                out[k] = np.array(e.ids, dtype="<u4").tobytes()
         return out
 
     def folded(self, text: str) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forkline.llm.hashing import Words, slices, word_hashes
+from forkline.llm.memory import tidy
 from forkline.session import materialised, ship
 
 # Kinds of bytes: lower case, upper case, digits, blanks, line ends, marks that end phrases, "!", "|", odd symbols, other ASCII, beyond ASCII.
@@ -105,7 +106,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def described(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and x, the statistics of each text as 64-bit floats (binary); null texts are empty."""
     ship(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_described, "doc_id long, x binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(_described), "doc_id long, x binary")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +131,8 @@ def trained(statistics: DataFrame, labels: DataFrame, shrinkage: float = 0.1, la
     marked = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     rows = statistics.join(marked, "doc_id").select("label", F.lit(1).cast("long").alias("n"), F.col("x").alias("total"), F.lit(None).cast("binary").alias("outer"))
     schema = "label int, n long, total binary, outer binary"
-    partial = rows.mapInArrow(_summed, schema)  # a row a class from each task
-    sums = partial.repartition("label").mapInArrow(_summed, schema)
+    partial = rows.mapInArrow(tidy(_summed), schema)  # a row a class from each task
+    sums = partial.repartition("label").mapInArrow(tidy(_summed), schema)
     return fit({r.label: (float(r.n), np.frombuffer(r.total), np.frombuffer(r.outer).reshape(FEATURES, -1)) for r in sums.collect()}, shrinkage)
 
 
@@ -144,7 +145,7 @@ def scored(statistics: DataFrame, model: Discriminant | None) -> DataFrame:
             scores = model.scores(x) if model is not None else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=["doc_id", "score"])
 
-    return statistics.mapInArrow(run, "doc_id long, score double")
+    return statistics.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -178,4 +179,4 @@ def kept(docs: DataFrame, model: Discriminant | None, least: float = 0.5, text:
             for words in slices(part.column(at)):
                 yield part.slice(words.begin, words.documents).filter(pa.array(model.scores(statistics(words)) >= least))
 
-    return docs if model is None else docs.mapInArrow(run, docs.schema)
+    return docs if model is None else docs.mapInArrow(tidy(run), docs.schema)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from forkline.llm import messages as M
 from forkline.llm.hashing import Words, slices, window_hashes, word_hashes
+from forkline.llm.memory import tidy
 from forkline.session import partitions, ship
 
 U64 = np.uint64
@@ -237,12 +238,12 @@ def substring_dedup(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", te
     buckets = 4 * partitions(spark)
     carried = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]).alias("carried")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), carried)
-    sent = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_windows(width, buckets), M.SCHEMA)
-    answers = M.dealt(sent).mapInArrow(_repeated(buckets), M.SCHEMA)
+    sent = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(tidy(_windows(width, buckets)), M.SCHEMA)
+    answers = M.dealt(sent).mapInArrow(tidy(_repeated(buckets)), M.SCHEMA)
     none = lambda name: F.lit(None).cast(docs.schema[name].dataType).alias(name)
     rows = answers.select("bucket", F.lit(0).alias("kind"), "payload", none("doc_id"), none("text"), none("carried"))
     home = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(buckets)).cast("int")
     rows = rows.union(docs.select(home.alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("payload"), "doc_id", "text", "carried"))
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "kind")
     schema = f"doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string, carried {docs.schema['carried'].dataType.simpleString()}"
-    return rows.mapInArrow(_removed(width), schema)
+    return rows.mapInArrow(tidy(_removed(width)), schema)
