@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forkline.functions.text import is_placeholder, path_prefixes
+from forkline.session import materialised
 
 
 def longest_prefix(rows: DataFrame, path: str, roots: DataFrame) -> DataFrame:
@@ -60,15 +61,19 @@ def route_match(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def subset_join(sets: DataFrame, owner: str, member: str) -> DataFrame:
-    """Pairs of owners (small, large) of which the first's members are among the second's: counted over shared members.
+    """Pairs of owners (small, large) of which the first's members are among the second's.
 
-    sets (owner, member) without repetition; pairs that share nothing are never made.
+    sets (owner, member), repetitions are ignored.  A set is tried only against the owners of its rarest member whose sets are
+    no smaller; the members of each pair left are then looked up and counted.
     """
-    distinct = sets.select(owner, member).distinct()
-    sizes = distinct.groupBy(owner).agg(F.count("*").alias("size"))
-    a, b = distinct.select(F.col(owner).alias("small"), member), distinct.select(F.col(owner).alias("large"), member)
-    shared = a.join(b, member).where("small <> large").groupBy("small", "large").agg(F.count("*").alias("shared"))
-    return shared.join(sizes.withColumnRenamed(owner, "small"), "small").where("shared = size").select("small", "large")
+    distinct = materialised(sets.select(F.col(owner).alias("small"), F.col(member).alias("member")).distinct())
+    sizes = distinct.groupBy("small").agg(F.count("*").alias("size"))
+    owners = distinct.groupBy("member").agg(F.count("*").alias("owners"))
+    rarest = distinct.join(owners, "member").groupBy("small").agg(F.min(F.struct("owners", "member")).alias("r")).select("small", F.col("r.member").alias("member"))
+    b = distinct.withColumnRenamed("small", "large")
+    tried = rarest.join(sizes, "small").join(b.join(sizes.toDF("large", "large_size"), "large"), "member").where("small <> large and size <= large_size").select("small", "large", "size")
+    shared = tried.join(distinct, "small").join(b, ["large", "member"], "left_semi").groupBy("small", "large", "size").agg(F.count("*").alias("shared"))
+    return shared.where("shared = size").select("small", "large")
 
 
 def rect_overlap(boxes: DataFrame, cell: float) -> DataFrame:

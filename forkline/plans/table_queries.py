@@ -147,6 +147,11 @@ def subset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.subset_join(events, "user_id", "kind")
 
 
+def subset_join_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers whose parts are all among another's, over all rows."""
+    return J.subset_join(tables(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey")
+
+
 def rect_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as boxes: size across, price down."""
     price = F.floor(F.col("p_retailprice") / 10)
@@ -335,6 +340,8 @@ SELECT call_id, route, 'resolved' AS confidence FROM f1 WHERE k = 1 UNION ALL SE
 o AS (SELECT DISTINCT user_id FROM s)
 SELECT a.user_id AS small, b.user_id AS large FROM o a, o b WHERE a.user_id <> b.user_id AND NOT EXISTS (
   SELECT 1 FROM s x WHERE x.user_id = a.user_id AND NOT EXISTS (SELECT 1 FROM s y WHERE y.user_id = b.user_id AND y.kind = x.kind))""",
+    "subset_join_parts": """WITH s AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS m FROM lineitem), n AS (SELECT o, count(*) AS size FROM s GROUP BY o)
+SELECT a.o AS small, b.o AS large FROM s a JOIN s b ON a.m = b.m AND a.o <> b.o JOIN n ON n.o = a.o GROUP BY a.o, b.o, n.size HAVING count(*) = n.size""",
     "rect_overlap": """WITH b AS (SELECT p_partkey AS id, p_size::DOUBLE AS x0, p_size + 1.5 AS x1, floor(p_retailprice / 10) AS y0, floor(p_retailprice / 10) + 2.5 AS y1 FROM part)
 SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""",
     "crossing_count": """WITH s AS (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS until FROM events),
