@@ -24,3 +24,39 @@ def test_parts_of_every_supplier(spark, tmp_path):
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     wanted = {(a, b) for a in sets for b in sets if a != b and sets[a] <= sets[b]}
     assert {tuple(p) for p in subset_join_parts(spark, str(tmp_path)).collect()} == wanted
+
+
+def _orders(spark, folder, orders):
+    rows = [(o, k, p, 1) for o, parts in enumerate(orders) for k, p in enumerate(parts)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(folder / "lineitem.parquet"))
+    return str(folder)
+
+
+def test_every_succession_is_an_edge(spark, tmp_path):
+    from forkline.plans import graph_queries as g
+
+    folder = _orders(spark, tmp_path, [[1, 2, 5], [1, 3, 5], [1, 4], [4, 5], [6, 7, 8]])
+    assert {tuple(e) for e in g.successions(spark, folder).collect()} == {(1, 2), (2, 5), (1, 3), (3, 5), (1, 4), (4, 5), (6, 7), (7, 8)}
+    assert {tuple(r) for r in g.route_reach_all(spark, folder).collect()} == {(1, 0), (2, 1), (3, 1), (4, 1), (5, 2), (6, 0), (7, 1), (8, 2)}
+    assert {tuple(r) for r in g.unary_chains_all(spark, folder).select("head", "node", "position").collect()} == {(6, 6, 0), (6, 7, 1), (6, 8, 2)}
+    assert {r.node: r.reach for r in g.closure_reach_all(spark, folder).collect()} == {1: 4, 2: 1, 3: 1, 4: 1, 6: 2, 7: 1}
+
+
+def test_hidden_paths_choose_among_all(spark, tmp_path):
+    from forkline.plans import graph_queries as g
+
+    r = random.Random(8)
+    orders = [[r.randrange(1, 31) for _ in range(r.randrange(2, 5))] for _ in range(35)]
+    edges = {(a, b) for o in orders for a, b in zip(o, o[1:]) if a != b}
+    wanted, frontier = {}, {(a, b): str(b) for a, b in edges if a % 10 == 0 and b % 10}
+    for hops in range(1, g.DEPTH + 1):  # every walk over hidden nodes, kept by its least text
+        for (a, at), path in frontier.items():
+            for b in (y for x, y in edges if x == at and y % 10 == 0 and y != a and (a, y) not in edges):
+                wanted[a, b] = min(wanted.get((a, b), (hops, path)), (hops, path))
+        ahead = [((a, y), f"{path},{y}") for (a, at), path in frontier.items() for x, y in edges if x == at and y % 10]
+        frontier = {}
+        for key, path in ahead:
+            frontier[key] = min(frontier.get(key, path), path)
+    assert len(wanted) > 2
+    found = {(x.src, x.dst): (x.hops, x.path) for x in g.hidden_path_best_all(spark, _orders(spark, tmp_path, orders)).collect()}
+    assert found == wanted
