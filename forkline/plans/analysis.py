@@ -130,7 +130,7 @@ class Analysis:
         both = self.call_graph.join(component.select(F.col("fn").alias("src"), F.col("component").alias("a")), "src").join(component.select(F.col("fn").alias("dst"), F.col("component").alias("b")), "dst")
         utility = ranking.utility_fan_in(both.select(F.col("src").alias("caller"), F.col("a").alias("src"), F.col("b").alias("dst"))).where("utility").select(F.col("dst").alias("b"))
         edges = both.where("a <> b").join(utility, "b", "left_anti").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("calls").alias("weight"))
-        return materialised(graph.hits(edges, 20))
+        return materialised(graph.hits(edges))
 
     @cached_property
     def links(self) -> DataFrame:

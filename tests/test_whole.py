@@ -60,3 +60,39 @@ def test_hidden_paths_choose_among_all(spark, tmp_path):
     assert len(wanted) > 2
     found = {(x.src, x.dst): (x.hops, x.path) for x in g.hidden_path_best_all(spark, _orders(spark, tmp_path, orders)).collect()}
     assert found == wanted
+
+
+def plain_hits(edges, rounds):
+    nodes = {n for a, b, _ in edges for n in (a, b)}
+    hub = dict.fromkeys(nodes, 1.0)
+    for _ in range(rounds):
+        authority = {n: sum(w * hub[a] for a, b, w in edges if b == n) for n in nodes}
+        raw = {n: sum(w * authority[b] for a, b, w in edges if a == n) for n in nodes}
+        hub, authority = ({n: x / sum(v.values()) for n, x in v.items()} for v in (raw, authority))
+    return {n: (hub[n], authority[n]) for n in nodes}
+
+
+def test_hits_run_to_the_reference_rounds(spark, tmp_path):
+    from forkline.plans.graph_queries import hits_supplier_part_50
+
+    pairs = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4), (4, 4), (4, 5), (5, 5), (5, 6), (5, 7)]
+    spark.createDataFrame(pairs, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    edges = [(f"s{a}", f"p{b}", 1) for a, b in pairs]
+    wanted, few = plain_hits(edges, 50), plain_hits(edges, 3)
+    found = {r.node: (r.hub, r.authority) for r in hits_supplier_part_50(spark, str(tmp_path)).collect()}
+    assert found.keys() == wanted.keys()
+    assert all(abs(x - y) < 2e-6 for n in wanted for x, y in zip(found[n], wanted[n]))
+    assert any(abs(few[n][0] - wanted[n][0]) > 1e-3 for n in wanted)
+
+
+def test_flagship_and_pillars_use_all_rounds(spark, monkeypatch):
+    from forkline.operators import graph
+    from forkline.plans import graph_queries
+    from forkline.plans.analysis import Analysis
+    from forkline.plans.sample import sources
+
+    seen, hits = [], graph.hits
+    monkeypatch.setattr(graph, "hits", lambda edges, iterations=50: seen.append(iterations) or hits(edges, 1))
+    assert Analysis(sources(spark)).pillars.count() > 0
+    graph_queries.flagship_50(spark, "/root/testdata/sf0.001")
+    assert seen == [50, 50]
