@@ -83,9 +83,9 @@ def _implementations(classes: DataFrame, above: DataFrame, owned: DataFrame) ->
 
 
 def calls(facts: DataFrame, ix: Index) -> DataFrame:
-    """Call rows with a key: repo, call, caller, module, cls, line, root, chain, source, frames, in_loop."""
-    rows = facts.where("kind = 'call'").select("repo", F.col("owner").alias("caller"), "line", F.col("ordinal").alias("column"), F.col("name").alias("root"), F.col("extra").alias("chain"), F.col("detail").alias("source"), "frames", F.col("flag").alias("in_loop"))
-    key = F.concat_ws(":", "caller", "line", "column", F.sha1("source"))
+    """Call rows with a key: repo, call, caller, module, cls, line, root, chain, source (a label), args, frames, in_loop."""
+    rows = facts.where("kind = 'call'").select("repo", F.col("owner").alias("caller"), "line", F.col("ordinal").alias("column"), F.col("name").alias("root"), F.col("extra").alias("chain"), F.col("detail").alias("source"), "args", "frames", F.col("flag").alias("in_loop"))
+    key = F.concat_ws(":", "caller", "line", "column", "args.end_line", "args.end_column", F.sha1("source"))
     return rows.join(ix.functions.select("repo", F.col("fn").alias("caller"), "module", "cls"), ["repo", "caller"]).withColumn("call", key)
 
 

@@ -90,7 +90,7 @@ class Analysis:
     @cached_property
     def routes(self) -> DataFrame:
         """Handlers with method and full path: repo, handler, method, route_path."""
-        included = self.calls.where("source like '%include_router(%'").select("repo", "module", "line", F.regexp_extract("source", r"include_router\(([\w.]+)", 1).alias("router"), F.regexp_extract("source", r"prefix='([^']*)'", 1).alias("prefix"))
+        included = self.calls.where("coalesce(try_element_at(chain, -1), root) = 'include_router' and args.name <> '' and args.prefix <> ''").select("repo", "module", "line", F.col("args.name").alias("router"), F.col("args.prefix").alias("prefix"))
         first = included.withColumns({"local": F.element_at(F.split("router", r"\."), 1), "rest": F.regexp_replace("router", r"^\w+", "")})
         bound = first.join(self.index.names, ["repo", "module", "local"], "left").select("repo", "line", "prefix", F.concat(F.coalesce("fqn", F.concat_ws(".", "module", "local")), "rest").alias("variable"))
         bound = bound.groupBy("repo", "variable").agg(F.max_by("prefix", "line").alias("prefix"))
@@ -118,9 +118,9 @@ class Analysis:
             fits = F.col("package").isin(*packages)
             rule = F.when(fits & F.col("method").isin(*methods) if methods else fits, kind).otherwise(rule)
         external = self.targets.where("target like 'ext:%'").select("repo", "call", F.substr("target", F.lit(5)).alias("package"))
-        rows = self.calls.join(external, ["repo", "call"]).select("repo", F.col("caller").alias("owner"), "line", "source", F.lower(F.coalesce(F.try_element_at(F.col("chain"), F.lit(-1)), "root")).alias("method"), "package")
-        literal = F.regexp_extract("source", r"""\(f?['"]([^'"]*)['"]""", 1)
-        target = F.when(F.col("kind") == "db", T.sql_table(F.col("source"))).otherwise(literal)
+        rows = self.calls.join(external, ["repo", "call"]).select("repo", F.col("caller").alias("owner"), "line", "args", F.lower(F.coalesce(F.try_element_at(F.col("chain"), F.lit(-1)), "root")).alias("method"), "package")
+        text = F.when(F.col("kind") == "db", T.sql_table(F.col("args.statement"))).when(F.col("kind") == "http_out", F.col("args.first")).otherwise(F.col("args.literal"))
+        target = F.coalesce(text, F.lit(""))
         return materialised(rows.withColumn("kind", rule).where("kind is not null").select("repo", "owner", "kind", "method", target.alias("target"), "line"))
 
     @cached_property

@@ -9,12 +9,14 @@ param     owner (function), name, detail (annotation), ordinal
 import    owner (module), name (local), detail (what it names)
 attr      owner (class), name, detail (type as written), ordinal
 local     owner (function), name, detail (type as written), ordinal
-call      owner (function), name (root), extra (attribute chain), detail (source), frames, flag (in a loop)
+call      owner (function), name (root), extra (attribute chain), detail (label: cut source), frames, flag (in a loop), args
 fork      owner (function), name (kind), detail (selector), extra (names read), flag (paths meet again)
 arm       owner (function), name (label), detail (terminal), extra (fork line and column), ordinal
 route     owner (function), name (method), detail (path), extra (router)
 const     owner (module), name, detail (string)
 
+``args`` is what the whole tree of a call says of its arguments: where the call ends, the dotted name and the string given first,
+the first string, the first string with those put together or wrapped by calls (an SQL statement), and the keyword ``prefix``.
 ``frames`` is the stack of control around a call: kind, site (``owner:line``) and arm.
 """
 
@@ -30,10 +32,12 @@ from forkline.session import ship
 
 FACTS = (
     "repo string, path string, kind string, ordinal int, owner string, name string, detail string, line int, end_line int, extra array<string>, "
-    "frames array<struct<kind:string,site:string,arm:int>>, flag boolean"
+    "frames array<struct<kind:string,site:string,arm:int>>, flag boolean, "
+    "args struct<end_line:int,end_column:int,name:string,first:string,literal:string,statement:string,prefix:string>"
 )
 _FRAMES = pa.list_(pa.struct([("kind", pa.string()), ("site", pa.string()), ("arm", pa.int32())]))
-_TYPES = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), _FRAMES, pa.bool_())
+_ARGS = pa.struct([("end_line", pa.int32()), ("end_column", pa.int32()), *((c, pa.string()) for c in ("name", "first", "literal", "statement", "prefix"))])
+_TYPES = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), _FRAMES, pa.bool_(), _ARGS)
 _NAMES = [c.split()[0] for c in FACTS.split(", ")]
 VERBS = ("get", "post", "put", "patch", "delete")
 Def = ast.FunctionDef | ast.AsyncFunctionDef
@@ -61,6 +65,36 @@ def type_text(node: ast.expr | None) -> str | None:
     return ".".join(parts) if parts else None
 
 
+def string(node: ast.expr) -> str | None:
+    """Text of a string or f-string, its expressions in braces; None for anything else."""
+    if isinstance(node, ast.JoinedStr):
+        return "".join(v.value if isinstance(v, ast.Constant) else f"{{{ast.unparse(v.value)}}}" for v in node.values)
+    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
+
+
+def statement_text(node: ast.expr) -> str | None:
+    """As ``string``, also through ``+`` and ``%`` and the arguments of a call around it."""
+    if isinstance(node, ast.BinOp):
+        sides = [statement_text(node.left), statement_text(node.right)]
+        return None if sides == [None, None] else "".join("{}" if s is None else s for s in sides)
+    if isinstance(node, ast.Call):
+        return next((s for a in node.args if (s := statement_text(a)) is not None), None)
+    return string(node)
+
+
+def arguments(node: ast.Call) -> dict:
+    given = [a.args[0] for a in ast.walk(node) if isinstance(a, ast.Call) and a.args and string(a.args[0]) is not None]
+    literal = min(given, key=lambda a: (a.lineno, a.col_offset), default=None)
+    prefix = next((k.value for k in node.keywords if k.arg == "prefix"), None)
+    return {
+        "end_line": node.end_lineno, "end_column": node.end_col_offset,
+        "name": ".".join(dotted(node.args[0]) or []) if node.args else "", "first": string(node.args[0]) if node.args else None,
+        "literal": string(literal) if literal is not None else None,
+        "statement": next((s for a in [*node.args, *(k.value for k in node.keywords)] if (s := statement_text(a)) is not None), None),
+        "prefix": prefix.value if isinstance(prefix, ast.Constant) and isinstance(prefix.value, str) else None,
+    }
+
+
 def terminal(body: list[ast.stmt]) -> str:
     """How a block ends: returns, raises, continues or falls_through."""
     last = body[-1] if body else None
@@ -108,8 +142,8 @@ class FileFacts:
         self.add("function", owner=self.module, name=owner, line=1, end_line=len(content.splitlines()) or 1, extra=[])
         self.block(rest, owner, (), False)
 
-    def add(self, kind: str, ordinal: int = 0, owner: str = "", name: str = "", detail: str | None = None, line: int = 0, end_line: int = 0, extra: list[str] | None = None, frames: tuple = (), flag: bool = False) -> None:
-        self.rows.append((self.repo, self.path, kind, ordinal, owner, name, detail or "", line, end_line or line, extra or [], [dict(zip(("kind", "site", "arm"), f)) for f in frames], flag))
+    def add(self, kind: str, ordinal: int = 0, owner: str = "", name: str = "", detail: str | None = None, line: int = 0, end_line: int = 0, extra: list[str] | None = None, frames: tuple = (), flag: bool = False, args: dict | None = None) -> None:
+        self.rows.append((self.repo, self.path, kind, ordinal, owner, name, detail or "", line, end_line or line, extra or [], [dict(zip(("kind", "site", "arm"), f)) for f in frames], flag, args))
 
     def imported(self, node: ast.AST) -> None:
         if isinstance(node, ast.Import):
@@ -232,7 +266,7 @@ class FileFacts:
         found = [n for n in ast.walk(node) if isinstance(n, ast.Call)]
         for n in sorted(found, key=lambda c: (c.lineno, c.col_offset, -(c.end_col_offset or 0))):
             parts = dotted(n.func)
-            self.add("call", n.col_offset, owner, parts[0] if parts else "", ast.unparse(n)[:120], n.lineno, n.end_lineno, parts[1:] if parts else [], frames, loop)
+            self.add("call", n.col_offset, owner, parts[0] if parts else "", ast.unparse(n)[:120], n.lineno, n.end_lineno, parts[1:] if parts else [], frames, loop, arguments(n))
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

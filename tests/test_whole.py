@@ -96,3 +96,27 @@ def test_flagship_and_pillars_use_all_rounds(spark, monkeypatch):
     assert Analysis(sources(spark)).pillars.count() > 0
     graph_queries.flagship_50(spark, "/root/testdata/sf0.001")
     assert seen == [50, 50]
+
+
+def test_calls_longer_than_a_label(spark):
+    from forkline.plans.analysis import Analysis
+
+    long = ", ".join(f"column_{k:03d}" for k in range(40))
+    url = "http://stock/" + "deep/" * 40 + "items"
+    files = {
+        "shop/api.py": "from fastapi import APIRouter\nrouter = APIRouter()\n\n@router.get('/items')\ndef items():\n    return 1\n",
+        "shop/main.py": f"from fastapi import FastAPI\nfrom shop.api import router\napp = FastAPI()\napp.include_router(router, tags=[{', '.join(repr(c) for c in long.split(', '))}], prefix='/stock')\n",
+        "shop/work.py": f"import sqlite3\nimport requests\n\ndef load():\n    sqlite3.execute('SELECT {long} FROM orders')\n\ndef ask():\n    requests.get('{url}')\n    requests.get(\"http://stock/it's\")\n",
+    }
+    a = Analysis(spark.createDataFrame([("r", p, c) for p, c in files.items()], "repo string, path string, content string"))
+    assert [(r.handler, r.route_path) for r in a.routes.collect()] == [("shop.api.items", "/stock/items")]
+    assert {(r.kind, r.target) for r in a.effects.collect()} == {("db", "orders"), ("http_out", url), ("http_out", "http://stock/it's")}
+
+
+def test_nested_calls_with_one_label_have_two_keys(spark):
+    from forkline.plans.analysis import Analysis
+
+    code = f"import requests\n\ndef f():\n    requests.get('{'x' * 130}')('a')('b')\n"
+    a = Analysis(spark.createDataFrame([("r", "m.py", code)], "repo string, path string, content string"))
+    keys = [r.call for r in a.calls.where("caller = 'm.f'").collect()]
+    assert len(keys) == len(set(keys)) == 3
