@@ -1,8 +1,8 @@
 """Edit-aware token counts: a segment tree over each document's pre-tokens, re-encoded only where edits touch it.
 
 A leaf is a run of ``LEAF`` pre-tokens; nodes hold characters and tokens below them.  An edit replaces some characters.
-Descending by characters finds the leaf of the character before it: cutting is by a pattern that looks ahead one
-character but never back, so the leaf's start stays a cut whatever the edit does.  From there the new text is cut again
+Descending by characters finds the leaf of the second character before it: a cut depends on the two characters behind it
+at most (white space before a word, ``'l`` that may be ``'ll``), so the leaf's start stays a cut whatever the edit does.  From there the new text is cut again
 until, behind the edit, a cut falls on an old leaf border; leaves between are encoded anew and put in their place, and
 the sums above them are updated.
 """
@@ -94,7 +94,7 @@ class Document:
         """Replace ``removed`` characters from ``at`` by ``inserted``; what is beyond the text is cut off."""
         at = min(max(at, 0), len(self.text))
         removed = min(max(removed, 0), len(self.text) - at)
-        first, start = self.tree.find(max(at - 1, 0)) if self.tree.count else (0, 0)
+        first, start = self.tree.find(max(at - 2, 0)) if self.tree.count else (0, 0)
         self.text = self.text[:at] + inserted + self.text[at + removed :]
         shift, behind = len(inserted) - removed, at + len(inserted)
         sizes = self.tree.sums[self.tree.base : self.tree.base + self.tree.count, 0]
