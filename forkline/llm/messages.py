@@ -16,7 +16,12 @@ from pyspark.sql import DataFrame
 SCHEMA = "bucket int, payload binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 #: Values that a map task gathers before it sends; bounds its memory.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
+
+
+def flush(buckets: int) -> int:
+    """``FLUSH``, or more where a message would hold very few values."""
+    return max(FLUSH, 32 * buckets)
 
 
 _KINDS = [np.dtype(k) for k in (np.uint8, np.uint16, np.uint32, np.uint64, np.int64, np.int32, np.float64)]

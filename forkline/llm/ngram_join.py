@@ -1,19 +1,24 @@
-"""N-gram Jaccard join: prefix filter, prefix tree, components of the links.
+"""N-gram Jaccard join: prefix filter, prefix trees, components of the links.
 
 1.  Every document becomes the set of 64-bit hashes of its word shingles.  Documents with equal sets are one class.
-2.  Shingles are counted in Spark (document frequency).  Those of one set only cannot be shared and
-    are dropped, but count in the set's size; the rest get one global order, rare before frequent.
-3.  Two sets can reach the threshold only if they share a shingle among the first ``n - ceil(t n) + 1`` of each.  Sets
-    meet in the groups of these; sizes and positions in the order must allow the overlap.
+2.  Shingles are counted in Spark.  Those of one set only cannot be shared and are dropped, but count in the set's size.
+    Shingles that the very same sets hold (those of a passage, or of a family of copies) become one token, which weighs
+    as many shingles as it stands for.  Tokens get one global order, rare before frequent.
+3.  Two sets can reach the threshold only if the first token that they share leaves each of them weight enough: sets
+    meet in the groups of such first tokens.
 4.  Candidates of one set are stored in a prefix tree over the global order (frequent first, where near copies share
     most).  It is traversed once; partial overlaps are shared by all below a node, and a subtree goes when the
     overlap so far and what can remain fall short of what its smallest set needs.
 5.  Links connect classes; components give the least document that each can reach.
 
-Skew: a family of near copies puts all its members in each other's groups.  Its pairs are never all made: in a first
-round each group tests one pivot against the rest, in a second about ``PIVOTS`` of them, each time leaving out pairs
-already known to be connected; only pairs across components are left for the last round, which leaves out the
-prevailing component's own pairs before it joins.  No candidate that could join two components is dropped.
+Skew: groups are not turned into all their pairs.  In a first round each group tests one pivot against the rest, in a
+second about ``PIVOTS`` of them, each time leaving out pairs already known to be connected.  What is left lies across
+components.  Where at most ``FEW`` members of a group stand outside its prevailing component, they meet the whole group.
+A larger group (one shingle common to very many unlike texts) is divided by the second token that two of its members may
+share, that by the third and so on: the upper levels of one prefix tree over all sets, dealt over the cluster.  A level
+is added only where it leaves at most half of the pairs; so pairs within a group are made in numbers only if the
+texts share most of their rare shingles and yet miss the threshold, which no exact join can tell without comparing them.
+No candidate that could join two components is dropped.
 """
 
 from __future__ import annotations
@@ -30,12 +35,19 @@ from forkline.llm import messages as M
 from forkline.llm.components import components
 from forkline.llm.hashing import mix, set_fingerprint, shingle_sets, slices
 from forkline.llm.memory import tidy
+from forkline.llm.skew import hot_join
 from forkline.session import materialised, partitions, ship
 
 U64 = np.uint64
 PIVOTS = 16
+#: Members outside the prevailing component of a group that meet the whole group.
+FEW = 64
 #: Candidates of one set that share a tree.
-TREE = 256
+TREE = 64
+#: Times that the pairs of a group have to outnumber the entries of one more level, before that is tried.
+GAIN = 32
+#: Parity bits of a set: two sets differ in as many shingles at least as in bits.
+BITS = 512
 
 
 def required(na: int, nb: int, percent: int) -> int:
@@ -46,12 +58,14 @@ def required(na: int, nb: int, percent: int) -> int:
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            size, cid = [], []
+            size, first, second = [], [], []
             for words in slices(part.column(1)):
                 for values in shingle_sets(words, width):
                     size.append(len(values))
-                    cid.append(set_fingerprint(values)[0] if len(values) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(cid, pa.int64())], names=["doc_id", "n_shingles", "cid"])
+                    f, g = set_fingerprint(values) if len(values) else (None, None)
+                    first.append(f)
+                    second.append(g)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (size, first, second))], names=["doc_id", "n_shingles", "f1", "f2"])
 
     return run
 
@@ -66,14 +80,25 @@ def _home(slots: np.ndarray, buckets: int) -> np.ndarray:
     return (mix((slots // NEAR).view(U64)) % U64(buckets)).astype(np.int64)
 
 
-def _send(held: dict[int, np.ndarray], first: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _bits(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set ``BITS`` bits (rows of 64-bit words), each the parity of the number of its hashes that fall on it."""
+    out = np.zeros((len(sets), BITS // 64), dtype=np.int64)
+    for at in range(0, len(sets), 512):
+        some = sets[at : at + 512]
+        which = np.repeat(np.arange(len(some)) * BITS, [len(x) for x in some]) + (np.concatenate(some) & U64(BITS - 1)).astype(np.int64)
+        odd = (np.bincount(which, minlength=len(some) * BITS) & 1).astype(bool)
+        out[at : at + len(some)] = np.packbits(odd).view(np.int64).reshape(len(some), -1)
+    return out
+
+
+def _send(held: dict[tuple[int, int], np.ndarray], first: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Shingles of some sets, one message a bucket: slots and shingles; and to the homes of the slots what they stand for."""
     sizes = np.array([len(x) for x in held.values()], dtype=np.int64)
     slots = first + np.arange(len(held), dtype=np.int64)
     home = _home(slots, buckets)
-    classes = np.array(list(held), dtype=np.int64)
+    facts = np.column_stack([np.array(list(held), dtype=np.int64), sizes, _bits(list(held.values()))])
     bounds = [(int(lo), int(hi)) for lo, hi in zip(*M.runs(home))]
-    yield M.batch([-1 - int(home[lo]) for lo, _ in bounds], [M.pack(slots[lo:hi], classes[lo:hi], sizes[lo:hi]) for lo, hi in bounds])
+    yield M.batch([-1 - int(home[lo]) for lo, _ in bounds], [M.pack(slots[lo:hi], facts[lo:hi]) for lo, hi in bounds])
     values, slots = np.concatenate(list(held.values())) & SENT, np.repeat(slots, sizes)
     order, bounds = M.by_bucket(values, buckets)
     low, high, slots = values[order].astype(np.uint32), (values[order] >> U64(32)).astype(np.uint16), slots[order]
@@ -84,15 +109,15 @@ def _send(held: dict[int, np.ndarray], first: int, buckets: int) -> Iterator[pa.
 
 def _shingles(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        total, first = 0, TaskContext.get().partitionId() << 32
+        held: dict[tuple[int, int], np.ndarray] = {}
+        total, first, most = 0, TaskContext.get().partitionId() << 32, M.flush(buckets)
         for part in batches:
             for words in slices(part.column(0)):
                 for values in shingle_sets(words, width):
-                    if len(values) and (cid := set_fingerprint(values)[0]) not in held:
-                        held[cid] = values
+                    if len(values) and (key := set_fingerprint(values)) not in held:
+                        held[key] = values
                         total += len(values)
-                if total > M.FLUSH or len(held) >= HELD:
+                if total > most or len(held) >= HELD:
                     yield from _send(held, first, buckets)
                     first += len(held)
                     held, total = {}, 0
@@ -102,10 +127,20 @@ def _shingles(width: int, buckets: int):
     return run
 
 
+def _merged(s: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots, tokens and weights in order, the weights of one token of one slot added up."""
+    order = np.lexsort((t, s))
+    s, t, w = s[order], t[order], w[order]
+    starts = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (t[1:] != t[:-1]))))
+    return s[starts], t[starts], np.add.reduceat(w, starts)
+
+
 def _shared(buckets: int):
-    """Messages of shingles to messages of those in two sets or more, with a frequency class, to the homes of their slots.
+    """Messages of shingles to messages of tokens, to the homes of their slots.
 
-    A class that several tasks met counts as often; that raises the class of its shingles alike for all and drops nothing.
+    A token is a frequency class (upper eight bits) and a sum of hashes of all slots that hold the shingle: shingles of
+    the very same slots are one token.  A class that several tasks met counts as often; that raises the class of its
+    shingles alike for all and drops nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,64 +164,75 @@ def _shared(buckets: int):
             again[1:-1] = ordered[1:] == ordered[:-1]
             order = order[again[:-1] | again[1:]]  # in runs of two or more
             s, v = s[order], v[order]
+            if not len(v):
+                return
             starts, ends = M.runs(v)
-            grade = np.minimum(8 * np.log2(ends - starts), 255).astype(np.uint8)
-            found.append((s, v, np.repeat(grade, ends - starts)))
+            grade = np.minimum(8 * np.log2(ends - starts), 255).astype(U64)
+            token = (np.add.reduceat(mix(s.view(U64)), starts) >> U64(8)) | grade << U64(56)
+            found.append(_merged(s, np.repeat(token, ends - starts), np.ones(len(s), dtype=np.int64)))
 
         def send() -> Iterator[pa.RecordBatch]:
             if passed:
                 yield M.batch(*map(list, zip(*passed)))
                 passed.clear()
             if found:
-                s, v, g = (np.concatenate(x) for x in zip(*found))
+                s, t, w = _merged(*(np.concatenate(x) for x in zip(*found)))
                 found.clear()
                 home = _home(s, buckets)
-                order = np.lexsort((s, home))
-                s, v, g, home = s[order], v[order], g[order], home[order]
+                order = np.argsort(home, kind="stable")
+                s, t, w, home = s[order], t[order], w[order], home[order]
                 bounds = [(int(lo), int(hi)) for lo, hi in zip(*M.runs(home))]
-                yield M.batch([int(home[lo]) for lo, _ in bounds], [M.pack(*M.owners(s[lo:hi]), v[lo:hi], g[lo:hi]) for lo, hi in bounds])
+                yield M.batch([int(home[lo]) for lo, _ in bounds], [M.pack(*M.owners(s[lo:hi]), t[lo:hi], M.shrunk(w[lo:hi])) for lo, hi in bounds])
 
+        most = M.flush(buckets)
         for _ in M.grouped(batches, group):
-            if sum(len(x[0]) for x in found) > M.FLUSH or len(passed) > 1000:
+            if sum(len(x[0]) for x in found) > most or len(passed) > 1000:
                 yield from send()
         yield from send()
 
     return run
 
 
-SETS = "cid long, n long, base long, tokens binary, prefix array<long>"
-_SETS = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("base", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+#: at: place of each token of the prefix among the set's tokens; skipped: shingles of the set before it in the order.
+SETS = "cid long, f1 long, f2 long, n long, bits array<long>, tokens binary, weights binary, prefix array<struct<token:long,at:int,skipped:long>>"
+_PREFIX = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32()), ("skipped", pa.int64())]))
+_SETS = pa.schema([(c, pa.int64()) for c in ("cid", "f1", "f2", "n")] + [("bits", pa.list_(pa.int64())), ("tokens", pa.binary()), ("weights", pa.binary()), ("prefix", _PREFIX)])
+
+
+def _least(n: int, percent: int) -> int:
+    """Least overlap of a set of ``n`` with any that it links with."""
+    return -(-percent * n // 100)
 
 
 def _ordered(percent: int):
-    """Messages of shared shingles to ordered sets; sets whose prefix has no shared shingle link with nothing and go."""
+    """Messages of tokens to ordered sets; sets whose tokens cannot reach the threshold link with nothing and go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
         def group(_: int, payloads: list[bytes]) -> None:
-            known: dict[int, tuple[int, int]] = {}
-            slots, values, grades = [], [], []
+            known: dict[int, list[int]] = {}
+            slots, tokens, weights = [], [], []
             for payload in payloads:
                 parts = M.unpack(payload)
-                if len(parts) == 3:
-                    known.update(zip(parts[0].tolist(), zip(parts[1].tolist(), parts[2].tolist())))
+                if len(parts) == 2:
+                    known.update(zip(parts[0].tolist(), parts[1].reshape(len(parts[0]), -1).tolist()))
                 else:
                     slots.append(np.repeat(*M.owned(*parts[:3])))
-                    values.append(parts[3])
-                    grades.append(parts[4])
+                    tokens.append(parts[3])
+                    weights.append(parts[4].astype(np.int64))
             if not slots:
                 return
-            s, v, g = np.concatenate(slots), np.concatenate(values), np.concatenate(grades)
-            order = np.lexsort((v, g, s))
-            s, v = s[order], v[order]
+            s, t, w = _merged(np.concatenate(slots), np.concatenate(tokens), np.concatenate(weights))
             for lo, hi in zip(*M.runs(s)):
-                cid, n = known[int(s[lo])]
-                m = int(hi - lo)
-                prefix = n + percent * n // -100 + 1 - (n - m)  # n - ceil(percent n / 100) + 1, less those shared with none
-                if prefix > 0:
-                    tokens = v[lo:hi]
-                    rows.append((cid, n, n - m, tokens.tobytes(), tokens[:prefix].view(np.int64)))
+                f1, f2, n, *bits = known[int(s[lo])]
+                weight = w[lo:hi]
+                ends = np.cumsum(weight)
+                skipped = n - int(ends[-1]) + ends - weight
+                prefix = int(np.searchsorted(skipped, n - _least(n, percent), "right"))
+                if prefix:
+                    first = [{"token": x, "at": k, "skipped": y} for k, (x, y) in enumerate(zip(t[lo : lo + prefix].view(np.int64).tolist(), skipped[:prefix].tolist()))]
+                    rows.append((int(s[lo]), f1, f2, n, bits, t[lo:hi].tobytes(), weight.astype(np.uint32).tobytes(), first))
 
         def send() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), _SETS)], schema=_SETS)
@@ -203,13 +249,15 @@ def _ordered(percent: int):
 
 
 class PrefixTree:
-    """Ordered sets in a path-compressed trie; a node is a range of the tokens of the set that made it."""
+    """Ordered sets of weighted tokens in a path-compressed trie; a node is a range of the tokens of the set that made it."""
 
-    def __init__(self, sets: list[np.ndarray], sizes: list[int]) -> None:
+    def __init__(self, sets: list[np.ndarray], sizes: list[int], weights: list[np.ndarray] | None = None) -> None:
         self.sets, self.sizes = sets, sizes
         self.tokens = np.concatenate(sets) if sets else np.zeros(0, U64)
+        self.weights = np.concatenate(weights).astype(np.int64) if weights else np.ones(len(self.tokens), np.int64)
+        self.total = np.concatenate(([0], np.cumsum(self.weights))).tolist()
         self.at = np.concatenate(([0], np.cumsum([len(x) for x in sets], dtype=np.int64))).tolist()
-        # node: [start, end, children by first token, sets that end here, most tokens below, least set size below]
+        # node: [start, end, children by first token, sets that end here, most weight below, least set size below]
         self.root = [0, 0, {}, [], 0, 0]
         for k in range(len(sets)):
             self._insert(k)
@@ -241,20 +289,21 @@ class PrefixTree:
             order.append(node)
             todo.extend(node[2].values())
         for node in reversed(order):
-            node[4] = max((c[4] + c[1] - c[0] for c in node[2].values()), default=0)
+            node[4] = max((c[4] + self.total[c[1]] - self.total[c[0]] for c in node[2].values()), default=0)
             node[5] = min([c[5] for c in node[2].values()] + [self.sizes[k] for k in node[3]], default=0)
 
-    def linked(self, query: np.ndarray, size: int, percent: int) -> list[int]:
+    def linked(self, query: np.ndarray, size: int, percent: int, weights: np.ndarray | None = None) -> list[int]:
         """Indexes of the stored sets that reach the threshold with ``query`` (sorted, of ``size`` with what is not shared)."""
         if not len(query):
             return []
+        whole = len(query) if weights is None else int(weights.sum())
         spot = np.minimum(np.searchsorted(query, self.tokens), len(query) - 1)
-        sums = np.concatenate(([0], np.cumsum(query[spot] == self.tokens))).tolist()
+        sums = np.concatenate(([0], np.cumsum((query[spot] == self.tokens) * self.weights))).tolist()
         found, todo = [], [(self.root, 0)]
         while todo:
             node, overlap = todo.pop()
             overlap += sums[node[1]] - sums[node[0]]
-            if overlap + min(node[4], len(query) - overlap) < required(size, node[5], percent):
+            if overlap + min(node[4], whole - overlap) < required(size, node[5], percent):
                 continue
             for k in node[3]:
                 if overlap >= required(size, self.sizes[k], percent):
@@ -265,32 +314,33 @@ class PrefixTree:
 
 
 def _trees(percent: int):
-    """Rows (a, salt, kind, id, n, tokens) sorted so that the query set (kind 0) precedes its candidates; links come out."""
+    """Rows (a, fan, salt, kind, id, n, tokens, weights) sorted so that the query set (kind 0) precedes its candidates; links come out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, query, size, ids, sets, sizes = None, None, 0, [], [], []
+        key, query, size, mine, ids, sets, sizes, weights = None, None, 0, None, [], [], [], []
 
         def links() -> tuple[list[int], list[int]]:
             if not ids or query is None:
                 return [], []
-            hit = [ids[k] for k in PrefixTree(sets, sizes).linked(np.sort(query), size, percent)]
+            hit = [ids[k] for k in PrefixTree(sets, sizes, weights).linked(query, size, percent, mine)]
             return [key[0]] * len(hit), hit
 
         for part in batches:
             a, b = [], []
-            columns = [part.column(i).to_pylist() for i in range(6)]
-            for who, salt, kind, cid, n, tokens in zip(*columns):
-                if (who, salt) != key:
+            columns = [part.column(i).to_pylist() for i in range(8)]
+            for who, fan, salt, kind, cid, n, tokens, weight in zip(*columns):
+                if (who, fan, salt) != key:
                     x, y = links()
                     a += x
                     b += y
-                    key, query, ids, sets, sizes = (who, salt), None, [], [], []
-                values = np.frombuffer(tokens, dtype=U64)
+                    key, query, ids, sets, sizes, weights = (who, fan, salt), None, [], [], [], []
+                values, weight = np.frombuffer(tokens, dtype=U64), np.frombuffer(weight, dtype=np.uint32)
                 if kind == 0:
-                    query, size = values, n
+                    query, size, mine = values, n, weight
                 else:
                     ids.append(cid)
                     sets.append(values[::-1])
+                    weights.append(weight[::-1])
                     sizes.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         a, b = links()
@@ -300,55 +350,128 @@ def _trees(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) that reach the threshold.  A set with many candidates is dealt over several trees."""
-    pairs = pairs.distinct()
-    trees = pairs.groupBy("a").agg(F.ceil(F.count("*") / TREE).alias("trees"))
-    pairs = materialised(pairs.join(trees, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("trees")).alias("salt")))
-    known = sets.select("cid", "n", "tokens")
-    queries = pairs.select("a", "salt").distinct().join(known, F.col("a") == F.col("cid")).select("a", "salt", F.lit(0).alias("kind"), "cid", "n", "tokens")
-    others = pairs.join(known, F.col("b") == F.col("cid")).select("a", "salt", F.lit(1).alias("kind"), "cid", "n", "tokens")
-    rows = queries.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+    """Those pairs (a, b, size) that reach the threshold; ``size`` is that of the group where they met.
+
+    The candidates of a set are dealt over a power of two of trees, so that no tree gathers a large group.
+    """
+    fan = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / TREE))).cast("int").alias("fan")
+    pairs = pairs.select("a", "b", fan).groupBy("a", "b").agg(F.max("fan").alias("fan"))
+    pairs = materialised(pairs.select("a", "b", "fan", F.expr("pmod(xxhash64(b), shiftleft(1L, fan))").alias("salt")))
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    known = sets.select("cid", "n", "tokens", "weights")
+    queries = pairs.select("a", "fan", "salt").distinct().join(known, F.col("a") == F.col("cid")).select("a", "fan", "salt", F.lit(0).alias("kind"), "cid", "n", "tokens", "weights")
+    others = pairs.join(known, F.col("b") == F.col("cid")).select("a", "fan", "salt", F.lit(1).alias("kind"), "cid", "n", "tokens", "weights")
+    rows = queries.union(others).repartition("a", "fan", "salt").sortWithinPartitions("a", "fan", "salt", "kind")
     return materialised(rows.mapInArrow(tidy(_trees(percent)), "a long, b long"))
 
 
-def _fits(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
-    """Sizes and positions allow the threshold, if this is the first shingle that the two share."""
-    longest = F.lit(1) + F.least(na - pa_ - 1, nb - pb - 1)
+def _fits(na: Column, sa: Column, nb: Column, sb: Column, percent: int) -> Column:
+    """Sizes and what each skipped allow the threshold, if the two share none of the tokens that they skipped."""
+    longest = F.least(na - sa, nb - sb)
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (longest * (100 + percent) >= (na + nb) * percent)
 
 
+ENTRY = "path long, cid long, n long, skipped long, at int"
+
+
+def _longer(percent: int):
+    """Entries with their sets' tokens to entries one token longer, wherever the threshold can still be reached."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            out: list[list[np.ndarray]] = []
+            for path, cid, n, skipped, at, tokens, weights in zip(*(part.column(i).to_pylist() for i in range(7))):
+                later, w = np.frombuffer(tokens, dtype=U64)[at + 1 :], np.frombuffer(weights, dtype=np.uint32)[at + 1 :].astype(np.int64)
+                past = skipped + np.cumsum(w) - w
+                k = int(np.searchsorted(past, n - _least(n, percent), "right"))
+                if k:
+                    longer = mix(later[:k] ^ mix(np.full(k, path, dtype=np.int64).view(U64)))
+                    out.append([np.full(k, path, np.int64), longer.view(np.int64), np.full(k, cid, np.int64), np.full(k, n, np.int64), past[:k], np.arange(at + 1, at + 1 + k, dtype=np.int32)])
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["parent", "path", "cid", "n", "skipped", "at"])
+
+    return run
+
+
+def _grouped(entries: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries with the label and the bits of their set, and of each group of two labels or more: size, outside (its prevailing label), main."""
+    named = sets.select("cid", "bits").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
+    seen = materialised(entries.join(named, "cid").select(*entries.columns, "bits", F.coalesce("label", "cid").alias("label")))
+    counts = seen.groupBy("path", "label").agg(F.count("*").alias("members"))
+    groups = counts.groupBy("path").agg(F.sum("members").alias("size"), F.count("*").alias("labels"), F.max(F.struct("members", "label")).alias("most"))
+    groups = groups.where("labels > 1").select("path", "size", (F.col("size") - F.col("most.members")).alias("outside"), F.col("most.label").alias("main"))
+    return seen, materialised(groups)
+
+
+def _met(left: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b, size) of ``left`` with the members of its groups in other components.
+
+    Of two sets that reach the threshold at most ``na + nb - 2 required(na, nb)`` shingles are in one alone, and so many bits differ at most.
+    """
+    left = left.select("path", "size", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("skipped").alias("ap"), F.col("label").alias("al"), F.col("bits").alias("ab"))
+    seen = seen.select("path", "cid", "n", "skipped", "label", "bits")
+    differ = sum((F.bit_count(F.col("ab")[k].bitwiseXOR(F.col("bits")[k])) for k in range(BITS // 64)), F.lit(0))
+    close = (F.col("an") + F.col("n") - differ) * (100 + percent) >= (F.col("an") + F.col("n")) * (2 * percent)
+    met = left.join(seen, "path").where((F.col("al") != F.col("label")) & _fits(F.col("an"), F.col("ap"), F.col("n"), F.col("skipped"), percent) & close)
+    return met.select(F.greatest("a", "cid").alias("a"), F.least("a", "cid").alias("b"), "size")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    if links.isEmpty():
+        return labels
+    return materialised(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links)))
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Labels (node, label) of the classes that link with another."""
-    entries = sets.select("cid", "n", F.posexplode("prefix").alias("pos", "token"), "base").select("token", "cid", "n", (F.col("pos") + F.col("base")).alias("pos"))
-    pivot = F.min(F.struct(F.xxhash64("cid").alias("rank"), "cid", "n", "pos")).alias("pivot")
-    groups = entries.groupBy("token").agg(F.count("*").alias("size"), pivot).where("size > 1")
-    entries = materialised(entries.join(groups, "token"))
-    first = entries.where((F.col("cid") != F.col("pivot.cid")) & _fits(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), percent))
-    labels = components(_verified(first.select(F.col("pivot.cid").alias("a"), F.col("cid").alias("b")), sets, percent))
-    entries = entries.select("token", "cid", "n", "pos", "size")
-    for final in (False, True):
-        labels = materialised(labels)
-        named = labels.select(F.col("node").alias("cid"), "label")
-        seen = materialised(entries.join(named, "cid", "left").select("token", "cid", "n", "pos", "size", F.coalesce("label", "cid").alias("label")))
-        sizes = seen.groupBy("token", "label").agg(F.count("*").alias("members"))
-        mixed = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("members", "label")).alias("main")).where("labels > 1").select("token", "main")
-        seen = seen.join(mixed, "token")
-        if final:
-            left = seen.where("label <> main")
-        else:
-            left = seen.where(F.pmod(F.xxhash64("cid", "token"), F.col("size")) < PIVOTS)
-        left = left.select("token", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("label").alias("al"))
-        met = left.join(seen, "token").where((F.col("al") != F.col("label")) & _fits(F.col("an"), F.col("ap"), F.col("n"), F.col("pos"), percent))
-        pairs = met.select(F.greatest("a", "cid").alias("a"), F.least("a", "cid").alias("b"))
-        more = _verified(pairs, sets, percent)
-        if more.isEmpty():
-            continue
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    entries = sets.select("cid", "n", F.explode("prefix").alias("p")).select(F.col("p.token").alias("path"), "cid", "n", "p.skipped", "p.at")
+    pivot = F.min(F.struct(F.xxhash64("cid").alias("rank"), "cid", "n", "skipped")).alias("pivot")
+    groups = materialised(entries.groupBy("path").agg(F.count("*").alias("size"), pivot).where("size > 1"))
+    entries = materialised(hot_join(entries, groups, ["path"], "size"))
+    first = entries.where((F.col("cid") != F.col("pivot.cid")) & _fits(F.col("n"), F.col("skipped"), F.col("pivot.n"), F.col("pivot.skipped"), percent))
+    labels = materialised(components(_verified(first.select(F.col("pivot.cid").alias("a"), F.col("cid").alias("b"), "size"), sets, percent)))
+    entries = entries.select("path", "cid", "n", "skipped", "at")
+    seen, groups = _grouped(entries, sets, labels)
+    seen = materialised(hot_join(seen, groups, ["path"], "size"))
+    pivots = seen.where(F.pmod(F.xxhash64("cid", "path"), F.col("size")) < PIVOTS)
+    labels = _joined(labels, _verified(_met(pivots, seen, percent), sets, percent))
+    entries = seen.select("path", "cid", "n", "skipped", "at")
+    while True:
+        seen, groups = _grouped(entries, sets, labels)
+        seen = materialised(hot_join(seen, groups, ["path"], "size"))
+        # what one more level would cost at most: each entry is repeated for each token that it may skip to
+        steps = F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) - F.col("skipped") + 1)
+        large = seen.where(F.col("outside") > FEW).groupBy("path", "size", "outside").agg(steps.alias("steps")).where(f"{GAIN} * steps < size * outside")
+        large = materialised(large.select("path", "size", "outside"))
+        deeper = None
+        if not large.isEmpty():
+            parts = hot_join(seen.select("path", "cid", "n", "skipped", "at"), large, ["path"], "size").join(sets.select("cid", "tokens", "weights"), "cid")
+            parts = parts.select("path", "cid", "n", "skipped", "at", "tokens", "weights").mapInArrow(tidy(_longer(percent)), "parent long, " + ENTRY)
+            deeper, below = _grouped(materialised(parts), sets, labels)
+            pairs = below.join(deeper.select("path", "parent").distinct(), "path").groupBy("parent").agg(F.sum(F.col("size") * F.col("outside")).alias("pairs"))
+            large = large.join(pairs.withColumnRenamed("parent", "path"), "path", "left").where("2 * coalesce(pairs, 0) <= size * outside")
+            large = materialised(large.select("path", "size"))
+            deeper = deeper.join(large.select(F.col("path").alias("parent")), "parent", "left_semi").join(below.select("path"), "path", "left_semi").select("path", "cid", "n", "skipped", "at")
+        here = seen.join(large.select("path"), "path", "left_anti")
+        met = _met(here.where("label <> main"), here, percent)
+        if deeper is not None:  # the members of a divided group that share no further token than its path
+            star = hot_join(seen.select("path", "cid", "n"), large, ["path"], "size")
+            least = star.groupBy("path").agg(F.min(F.struct("n", "cid")).alias("least"), F.count("*").alias("members"))
+            star = hot_join(star, materialised(least), ["path"], "members").where("cid <> least.cid")
+            met = met.union(star.select(F.greatest("cid", "least.cid").alias("a"), F.least("cid", "least.cid").alias("b"), "size"))
+        labels = _joined(labels, _verified(met, sets, percent))
+        if deeper is None:
+            break
+        entries = materialised(deeper)
+        if entries.isEmpty():
+            break
     return labels
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (least doc_id that it reaches over links, its own included).
+    """One row a document: doc_id, n_shingles, component_id (least doc_id that it reaches over links, its own included),
+    class_id (least doc_id with the same set; doc_id where there is no set).
 
     Words are lower-cased (A-Z) runs of other than white space; a text of fewer than ``width`` words is one shingle of
     all of them.  Null, empty and blank texts have no shingles, link with nothing and are their own component.  Equal
@@ -360,14 +483,17 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str =
     ship(spark)
     buckets = 4 * partitions(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialised(docs.mapInArrow(tidy(_signatures(width)), "doc_id long, n_shingles long, cid long"))
+    rows = materialised(docs.mapInArrow(tidy(_signatures(width)), "doc_id long, n_shingles long, f1 long, f2 long"))
     sent = docs.select("text").mapInArrow(tidy(_shingles(width, buckets)), M.SCHEMA)
     shared = M.dealt(sent).mapInArrow(tidy(_shared(buckets)), M.SCHEMA)
-    sets = materialised(M.dealt(shared).mapInArrow(tidy(_ordered(percent)), SETS).dropDuplicates(["cid"]))
-    labels = _links(sets, percent).select(F.col("node").alias("cid"), "label")
-    classes = materialised(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least")))
-    classes = materialised(classes.join(labels, "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("label")))
-    reached = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = materialised(classes.join(reached, "label").select(F.col("cid").alias("class"), "component_id"))
-    out = rows.join(named, F.col("cid") == F.col("class"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    sets = materialised(M.dealt(shared).mapInArrow(tidy(_ordered(percent)), SETS).dropDuplicates(["f1", "f2", "n"]))
+    labels = sets.select("cid", "f1", "f2", "n").join(_links(sets, percent).select(F.col("node").alias("cid"), "label"), "cid")
+    labels = labels.select("f1", "f2", F.col("n").alias("n_shingles"), "label")
+    key = ["f1", "f2", "n_shingles"]
+    classes = materialised(rows.where("f1 is not null").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
+    classes = materialised(classes.join(labels, key, "left"))
+    reached = classes.where("label is not null").groupBy("label").agg(F.min("class_id").alias("least"))
+    named = materialised(classes.join(reached, "label", "left").select(*key, "copies", "class_id", F.coalesce("least", "class_id").alias("component_id")))
+    alone = rows.where("f1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    found = hot_join(rows.where("f1 is not null"), named, key, "copies")
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")).union(alone)

@@ -97,14 +97,14 @@ def _send(parts: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.Reco
 def _windows(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
-        total = 0
+        total, most = 0, M.flush(buckets)
         for part in batches:
             ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for words in slices(part.column(1)):
                 hashes, document = windows(words, width)
                 parts.append((hashes, ids[words.begin + document]))
                 total += len(hashes)
-                if total > M.FLUSH:
+                if total > most:
                     yield from _send(parts, buckets)
                     parts, total = [], 0
         if total:
@@ -148,8 +148,9 @@ def _repeated(buckets: int):
                 found.clear()
                 yield M.batch(*_answers(owner, hashes, buckets))
 
+        most = M.flush(buckets)
         for _ in M.grouped(batches, group):
-            if sum(len(x[0]) for x in found) > M.FLUSH or len(passed) > 1000:
+            if sum(len(x[0]) for x in found) > most or len(passed) > 1000:
                 yield from send()
         yield from send()
 
