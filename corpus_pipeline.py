@@ -20,20 +20,31 @@ from forkline.session import materialised, tables
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score 0.5 or more); it learns from labels that are not held out."""
+    """Documents that the quality classifier accepts (score 0.5 or more); it learns from labels that are not held out.
+
+    Statistics are made where the texts are read and only they meet the labels: that costs CPU time for texts without a
+    label, but no text is shuffled.
+    """
     statistics = described(docs.where(~held_out(F.col("doc_id"))))
     return kept(docs, trained(statistics, tables(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the least doc_id, one row of it if the id is repeated.
+    """One document of each group of near duplicates: that of the least doc_id; of several unlike the others with that id, all.
 
-    Rows without doc_id cannot be told apart and stay.
+    Rows of one doc_id and one text are one document.  Where several texts of a group have its least doc_id, one with the
+    least hash stays.  Blank texts, which are near duplicates of nothing, and rows without doc_id, which cannot be told
+    apart, stay.
     """
-    found = ngram_join(docs)
-    keep = materialised(found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct())
-    once = docs.join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null"))
+    key = F.xxhash64("text").alias("key")
+    found = materialised(ngram_join(docs.where("doc_id is not null").select("doc_id", "text", key), carry="key"))
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.doc_id", "first.key")
+    keep = materialised(first.union(found.where("component is null").select("doc_id", "key")).distinct())
+    name = "key"
+    while name in docs.columns:
+        name += "_"
+    once = docs.withColumn(name, F.xxhash64("text")).join(keep.withColumnRenamed("key", name), ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from forkline.llm.hashing import string_buffers
 from forkline.llm.pieces import BYTE_PIECES, PieceCache
+from forkline.llm.memory import kept, tidy
 from forkline.session import ship
 
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -171,6 +172,7 @@ class Bpe:
 
 
 _loaded: dict[str, Bpe] = {}
+kept(_loaded)
 
 
 def load(path: str) -> Bpe:
@@ -217,7 +219,7 @@ def bpe_encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
                 at += len(texts)
 
     schema = "doc_id long, ids array<int>" + (", decoded string" if decoded else "")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run, caches=True), schema)
 
 
 def bpe_decode(rows: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -230,4 +232,4 @@ def bpe_decode(rows: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "i
             texts = [bpe.decode(np.array(x or (), dtype=np.int64)) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
-    return rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, decoded string")
+    return rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(tidy(run, caches=True), "doc_id long, decoded string")

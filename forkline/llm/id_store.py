@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from forkline.llm.bpe import text_slices
 from forkline.llm.files import NewFile, Readers, delete, located
 from forkline.llm.hashing import mix, rolled
+from forkline.llm.memory import tidy
 from forkline.llm.pieces import WORD_PIECES, library_encoder
 from forkline.session import materialised, new_folder, partitions, ship
 
@@ -192,7 +193,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id", t
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    met = materialised(source.mapInArrow(_chunked(path, folder), MET))
+    met = materialised(source.mapInArrow(tidy(_chunked(path, folder), caches=True), MET))
     new = met.select(F.explode("new").alias("n")).select("n.*")
     chosen = new.groupBy("digest").agg(F.min(F.struct("pack", "offset", "length")).alias("at")).select("digest", "at.*")
     # Ranges of places spread evenly over tasks, and each task reads few packs.

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from forkline.llm.bpe import text_slices
 from forkline.llm.files import NewFile, Readers
+from forkline.llm.memory import tidy
 from forkline.session import materialised, new_folder, ship
 
 WIDTH = 576
@@ -126,7 +127,7 @@ def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
             file.close()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialised(source.mapInArrow(run, STORED))
+    return materialised(source.mapInArrow(tidy(run), STORED))
 
 
 def described(places: DataFrame) -> DataFrame:

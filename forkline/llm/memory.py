@@ -10,13 +10,24 @@ import pyarrow as pa
 Tasks = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def tidy(run: Tasks) -> Tasks:
-    """``run`` for mapInArrow, after which a worker gives back what it has freed.
+_kept: list[dict] = []
 
-    Workers live on from stage to stage; what one stage's arrays took would otherwise stand beside what the next needs.
+
+def kept(cache: dict) -> None:
+    """Name a cache that a worker holds from task to task, until a task that does not use it begins."""
+    _kept.append(cache)
+
+
+def tidy(run: Tasks, caches: bool = False) -> Tasks:
+    """``run`` for mapInArrow, after which a worker gives back what it has freed; ``caches``: it uses what workers keep.
+
+    Workers live on from stage to stage; what one stage took would otherwise stand beside what the next needs.
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not caches:
+            for cache in _kept:
+                cache.clear()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc

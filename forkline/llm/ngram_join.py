@@ -65,7 +65,7 @@ def _signatures(width: int):
                     f, g = set_fingerprint(values) if len(values) else (None, None)
                     first.append(f)
                     second.append(g)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (size, first, second))], names=["doc_id", "n_shingles", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (size, first, second)), part.column(2)], names=["doc_id", "n_shingles", "f1", "f2", "carried"])
 
     return run
 
@@ -469,9 +469,10 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return labels
 
 
-def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least doc_id that it reaches over links, its own included),
-    class_id (least doc_id with the same set; doc_id where there is no set).
+    class_id (least doc_id with the same set; doc_id where there is no set), component (the same for all rows of one
+    component, and for these alone, even where ids are repeated; null where there is no set), and a long column ``carry``.
 
     Words are lower-cased (A-Z) runs of other than white space; a text of fewer than ``width`` words is one shingle of
     all of them.  Null, empty and blank texts have no shingles, link with nothing and are their own component.  Equal
@@ -482,8 +483,9 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str =
     spark = docs.sparkSession
     ship(spark)
     buckets = 4 * partitions(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialised(docs.mapInArrow(tidy(_signatures(width)), "doc_id long, n_shingles long, f1 long, f2 long"))
+    extra = [] if carry is None else [carry]
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.lit(None).cast("long") if carry is None else F.col(carry).cast("long")).alias("carried"))
+    rows = materialised(docs.mapInArrow(tidy(_signatures(width)), "doc_id long, n_shingles long, f1 long, f2 long, carried long"))
     sent = docs.select("text").mapInArrow(tidy(_shingles(width, buckets)), M.SCHEMA)
     shared = M.dealt(sent).mapInArrow(tidy(_shared(buckets)), M.SCHEMA)
     sets = materialised(M.dealt(shared).mapInArrow(tidy(_ordered(percent)), SETS).dropDuplicates(["f1", "f2", "n"]))
@@ -492,8 +494,12 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75, doc_id: str =
     key = ["f1", "f2", "n_shingles"]
     classes = materialised(rows.where("f1 is not null").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
     classes = materialised(classes.join(labels, key, "left"))
-    reached = classes.where("label is not null").groupBy("label").agg(F.min("class_id").alias("least"))
-    named = materialised(classes.join(reached, "label", "left").select(*key, "copies", "class_id", F.coalesce("least", "class_id").alias("component_id")))
-    alone = rows.where("f1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    reached = materialised(classes.where("label is not null").groupBy("label").agg(F.min("class_id").alias("component_id"), F.count("*").alias("classes")))
+    linked = hot_join(classes.where("label is not null"), reached, ["label"], "classes").select(*key, "copies", "class_id", "label", "component_id")
+    named = materialised(linked.union(classes.where("label is null").select(*key, "copies", "class_id", "label", F.col("class_id"))))
+    component = F.when(F.col("label").isNull(), F.struct("label", "f1", "f2")).otherwise(F.struct("label", F.lit(None).cast("long").alias("f1"), F.lit(None).cast("long").alias("f2")))
     found = hot_join(rows.where("f1 is not null"), named, key, "copies")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")).union(alone)
+    out = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component")]
+    blank = rows.where("f1 is null").withColumns({"component_id": F.col("doc_id"), "class_id": F.col("doc_id"), "label": F.lit(None).cast("long")})
+    blank = blank.select(*out[:4], F.lit(None).cast("struct<label:long,f1:long,f2:long>").alias("component"), F.col("carried"))
+    return found.select(*out, "carried").union(blank).select("doc_id", "n_shingles", "component_id", "class_id", "component", *[F.col("carried").alias(c) for c in extra])

@@ -14,6 +14,8 @@ from itertools import chain
 
 import numpy as np
 
+from forkline.llm.memory import kept
+
 # White space of Unicode, letters of Latin-1, ASCII characters that are neither letter, digit nor space.
 SPACE = r"\t-\r \x85\xa0  -     　"
 LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -25,8 +27,8 @@ BYTE_PIECES = re.compile(
 )
 WORD_PIECES = re.compile(rf"'(?:[stmdSTMD]|[lL][lL]|[vV][eE]|[rR][eE])|[{LETTER}]++{PLAIN}|[0-9]++{PLAIN}|[{MARK}]++{PLAIN}|[^{SPACE}]+")
 
-#: Pieces that a worker remembers; rarer ones are encoded again with each batch.
-REMEMBERED = 400_000
+#: Bytes of pieces that a worker remembers, and what Python needs for one beside its text and ids; rarer ones are encoded again with each batch.
+REMEMBERED, EACH = 64 << 20, 200
 LETTERS = re.compile(f" ?[{LETTER}]+")
 LATIN = re.compile(r"[\x00-\xff]*+")
 JOINED = 64
@@ -36,7 +38,7 @@ class PieceCache:
     """What pieces encode to, as little-endian unsigned 32-bit ids."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]) -> None:
-        self.encode, self.known = encode, {}
+        self.encode, self.known, self.held = encode, {}, 0
 
     def ids(self, documents: list[list[str]]) -> list[bytes]:
         """Ids of each document, given as its pieces."""
@@ -48,8 +50,10 @@ class PieceCache:
             found = dict(zip(new, self.encode(new)))
             for k in missing:
                 ids[k] = found[flat[k]]
-            if len(self.known) + len(found) <= REMEMBERED:
+            size = EACH * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+            if self.held + size <= REMEMBERED:
                 self.known.update(found)
+                self.held += size
         out, at = [], 0
         for n in map(len, documents):
             out.append(b"".join(ids[at : at + n]))
@@ -58,9 +62,9 @@ class PieceCache:
 
 
 class LibraryEncoder:
-    """Texts to ids by a tokenizers file, with the pieces of most texts remembered."""
+    """Texts to ids by a tokenizers file, with the pieces of most texts remembered; ``plain``: the strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, pattern: re.Pattern) -> None:
+    def __init__(self, path: str, pattern: re.Pattern, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,7 +72,8 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.pattern = pattern
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = PieceCache(self._encode)
 
         self.lowers = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("WORD ÀÉ", "word àé")]
@@ -116,11 +121,13 @@ class LibraryEncoder:
         return out
 
 
-_encoders: dict[tuple[str, re.Pattern], LibraryEncoder] = {}
+_encoders: dict[tuple[str, re.Pattern, bool], LibraryEncoder] = {}
+kept(_encoders)
 
 
-def library_encoder(path: str, pattern: re.Pattern) -> LibraryEncoder:
-    """The worker's encoder for a tokenizer file."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = LibraryEncoder(path, pattern)
-    return _encoders[path, pattern]
+def library_encoder(path: str, pattern: re.Pattern, plain: bool = False) -> LibraryEncoder:
+    """The worker's encoder for a tokenizer file; tasks of other kinds give it back (see ``memory.tidy``)."""
+    key = path, pattern, plain
+    if key not in _encoders:
+        _encoders[key] = LibraryEncoder(*key)
+    return _encoders[key]
