@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forkline.llm.bpe import text_slices
-from forkline.llm.pieces import BYTE_PIECES, PieceCache, library_encoder
+from forkline.llm.memory import tidy
+from forkline.llm.pieces import BYTE_PIECES, library_encoder
 from forkline.session import ship
 
 LEAF = 64
@@ -67,7 +68,7 @@ class Counter:
     """Counts of pieces, remembered; the strings of special tokens are ordinary text."""
 
     def __init__(self, path: str) -> None:
-        self.cache = PieceCache(library_encoder(path, BYTE_PIECES)._encode)
+        self.cache = library_encoder(path, BYTE_PIECES, plain=True).cache
 
     def leaves(self, groups: list[list[str]]) -> np.ndarray:
         """Characters and tokens of each group of pieces."""
@@ -116,15 +117,6 @@ class Document:
         self.tree.replace(first, last, self.counter.leaves(groups))
 
 
-_counters: dict[str, Counter] = {}
-
-
-def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
-
-
 EDITS = "array<struct<at:long,removed:long,inserted:string>>"
 
 
@@ -140,7 +132,7 @@ def token_counts(docs: DataFrame, path: str, edits: Column | None = None, doc_id
     edits = F.lit(None).cast(EDITS) if edits is None else edits.cast(EDITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count = Counter(path)
         for part in batches:
             at = 0
             for texts in text_slices(part.column(1)):
@@ -160,4 +152,4 @@ def token_counts(docs: DataFrame, path: str, edits: Column | None = None, doc_id
                 at += len(texts)
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), edits.alias("edits"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, n_leaves long, edited_tokens long, encoded_leaves long, edited_text string")
+    return source.mapInArrow(tidy(run, caches=True), "doc_id long, n_tokens long, n_leaves long, edited_tokens long, encoded_leaves long, edited_text string")

@@ -16,7 +16,7 @@ def test_cut_before_a_leaf_moves(tail, removed, inserted):
     t.encode_special_tokens = True
     text = "x" + " x" * (token_counts.LEAF - 2) + tail
     border = len(text) - len(tail) + 1
-    d = token_counts.Document(text, token_counts.counter(tokenizer(BYTE_BPE)))
+    d = token_counts.Document(text, token_counts.Counter(tokenizer(BYTE_BPE)))
     assert d.tree.find(border) == (1, border)
     d.edit(border + 1, removed, inserted)
     assert d.text == text[: border + 1] + inserted + text[border + 1 + removed :]
