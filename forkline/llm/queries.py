@@ -38,12 +38,13 @@ URL_RULES = [
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rule = lambda *values: F.struct(*[F.lit(v).alias(c) for c, v in zip(("host", "path", "verdict"), values)])
+    rules = spark.range(1).select(F.inline(F.array(*[rule(*r) for r in URL_RULES])))
     return url_filters(tables(spark, sf_dir, "pages"), rules, keep=("page_id",), salts=max(64, partitions(spark)))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(tables(spark, sf_dir, "documents"))
+    return ngram_join(tables(spark, sf_dir, "documents")).drop("component")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threshold_search(tables(spark, sf_dir, "embeddings"))
+    return threshold_search(tables(spark, sf_dir, "embeddings")).drop("met")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
