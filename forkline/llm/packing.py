@@ -3,14 +3,16 @@
 A piece of n tokens costs ``linear * n + quadratic * n * n`` (attention within the piece).  Map tasks tokenize documents
 and pack them block by block, a block being up to ``block`` tokens of one task.  Pieces of full length are sequences of
 their own; what is left of each document goes, dearest first, to the sequence of least cost that has room for it.  A
-block has as few sequences as hold its tokens; what fits nowhere whole is cut over the sequences of least cost with any
-room.  So less than one sequence of padding is left to a block, and nothing is shuffled.
+block has as few sequences as hold its tokens; what no sequence has room for is cut: the sequence of least cost with any
+room is filled, and the rest goes on in the same way.  So less than one sequence of padding is left to a block, and
+nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,47 @@ from forkline.session import ship
 CAPACITY = 2048
 BLOCK = 1 << 21
 END = np.array([1], dtype="<u4").tobytes()
-#: Sequences of least cost that are tried before a piece is cut.
-TRIES = 16
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+class Sequences:
+    """Open sequences by remaining room: a heap of (cost, number) for each room, and a tree of the least of ranges of rooms."""
+
+    def __init__(self, capacity: int, count: int) -> None:
+        self.base = 1 << capacity.bit_length()
+        self.heaps: dict[int, list[tuple[float, int]]] = {capacity: [(0.0, k) for k in range(count)]}
+        self.least = [(inf, 0)] * (2 * self.base)
+        self._up(capacity)
+
+    def _up(self, room: int) -> None:
+        heap, at = self.heaps[room], self.base + room
+        self.least[at] = heap[0] if heap else (inf, 0)
+        while at > 1:
+            at //= 2
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+
+    def take(self, least: int) -> tuple[float, int, int] | None:
+        """Remove the cheapest sequence of at least this room: cost, number, room."""
+        at, top = self.base + least, self.base
+        best, where = self.least[at], at
+        while at > 1:  # subtrees right of the path hold larger rooms
+            if at % 2 == 0 and self.least[at + 1] < best:
+                best, where = self.least[at + 1], at + 1
+            at //= 2
+        if best[0] == inf:
+            return None
+        while where < top:
+            where = 2 * where if self.least[2 * where] == best else 2 * where + 1
+        heapq.heappop(self.heaps[where - top])
+        self._up(where - top)
+        return *best, where - top
+
+    def put(self, cost: float, number: int, room: int) -> None:
+        heapq.heappush(self.heaps.setdefault(room, []), (cost, number))
+        self._up(room)
+
+
 def assign(sizes: list[int], capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1.0 / CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of these sizes; sequences are numbered from 0."""
     cost = lambda n: linear * n + quadratic * n * n
@@ -44,32 +81,17 @@ def assign(sizes: list[int], capacity: int = CAPACITY, linear: float = 1.0, quad
             rest.append((size % capacity, d, size - size % capacity))
     rest.sort(key=lambda r: (-r[0], r[1]))
     bins = -(-sum(r[0] for r in rest) // capacity)
-    used = [0] * bins
-    heap = [(0.0, k) for k in range(bins)]
+    if not bins:
+        return out
+    sequences = Sequences(capacity, bins)
     for length, d, start in rest:
-        tried: list[tuple[float, int]] = []
-        while heap and len(tried) < TRIES and used[heap[0][1]] + length > capacity:
-            tried.append(heapq.heappop(heap))
-        if heap and used[heap[0][1]] + length <= capacity:
-            tried.append(heapq.heappop(heap))
-            tried[0], tried[-1] = tried[-1], tried[0]
-        for k, (spent, b) in enumerate(tried):
-            take = min(length, capacity - used[b])
-            if take:
-                out.append((d, start, take, sequence + b, used[b]))
-                used[b] += take
-                tried[k] = (spent + cost(take), b)
-                length, start = length - take, start + take
-        while length:  # all that were tried are full now
-            spent, b = heapq.heappop(heap)
-            take = min(length, capacity - used[b])
-            out.append((d, start, take, sequence + b, used[b]))
-            used[b] += take
-            tried.append((spent + cost(take), b))
+        while length:
+            spent, b, room = sequences.take(length) or sequences.take(1)
+            take = min(length, room)
+            out.append((d, start, take, sequence + b, capacity - room))
+            if take < room:
+                sequences.put(spent + cost(take), b, room - take)
             length, start = length - take, start + take
-        for entry in tried:
-            if used[entry[1]] < capacity:
-                heapq.heappush(heap, entry)
     return out
 
 
@@ -113,4 +135,4 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, linear: float =
         if ids:
             yield flush(ids, encoded, first)[0]
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run, caches=True), SCHEMA)

@@ -17,7 +17,7 @@ from forkline.llm import ngram_join as ngram
 from forkline.llm.ngram_join import PrefixTree, ngram_join, required
 from forkline.llm.queries import BYTE_BPE, WORD_BPE, tokenizer
 from forkline.llm.substring_dedup import spark_xxhash64, substring_dedup
-from forkline.llm.threshold_search import search, threshold_search
+from forkline.llm.threshold_search import bound, search, threshold_search
 from forkline.llm.url_filters import url_filters
 from tests.llm import brute
 
@@ -162,13 +162,24 @@ def test_token_counts(spark, docs, rows, empty):
     assert token_counts.token_counts(empty, tokenizer(BYTE_BPE)).count() == 0
 
 
+def test_special_strings_count_as_ordinary_text():
+    counter = token_counts.Counter(tokenizer(BYTE_BPE))
+    t = tokens_of(BYTE_BPE)
+    t.encode_special_tokens = True
+    for text in ("漢<|endoftext|>", "é“<|endoftext|>漢", "<|endoftext|>", "a<|endoftext|><|endoftext|> 漢", " <|endoftext|>\u2003é"):
+        assert token_counts.Document(text, counter).tokens == len(t.encode(text).ids)
+    d = token_counts.Document("漢漢", counter)
+    d.edit(1, 0, "<|endoftext|>")
+    assert d.tokens == len(t.encode("漢<|endoftext|>漢").ids)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_edited_trees_count_as_whole_texts(seed):
     r = random.Random(seed)
-    counter = token_counts.counter(tokenizer(BYTE_BPE))
+    counter = token_counts.Counter(tokenizer(BYTE_BPE))
     t = tokens_of(BYTE_BPE)
     t.encode_special_tokens = True
-    letters = "ab 'st\n\té漢 .,9  "
+    letters = [*"ab 'st\n\té漢 .,9  “", "<|endoftext|>", "<|endof", "text|>"]
     d = token_counts.Document("".join(r.choice(letters) for _ in range(r.choice((0, 50, 4000)))), counter)
     for _ in range(40):
         d.edit(r.randrange(0, len(d.text) + 2), r.choice((0, 1, 5, 300)), "".join(r.choice(letters) for _ in range(r.choice((0, 1, 3, 200)))))
@@ -181,7 +192,7 @@ def test_threshold_search(spark):
     rows = [(k, [r.gauss(0, 0.3) for _ in range(6)]) for k in range(0, 900, 3)]
     rows += [(50, [1.0] * 6), (50, [0.5] * 6), (4000, rows[5][1]), (5, rows[5][1]), (7, None), (None, [0.1] * 6), (100000, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (100050, [float("nan")] * 6), (100100, [float("inf")] * 6), (200, [0.25, 0.5]), (201, [0.25, -0.5]), (250, []), (300, [0.0] * 6)]
     df = spark.createDataFrame([(i, v, 1, "c") for i, v in rows], "vec_id long, embedding array<double>, rank int, part string").repartition(4)
-    found = {tuple(x) for x in threshold_search(df).collect()}
+    found = {tuple(x)[:4] for x in threshold_search(df).collect()}
     assert found == brute.nearest(rows)
     assert threshold_search(df.limit(0)).count() == 0
 
@@ -192,12 +203,46 @@ def test_threshold_stops_early_and_exactly():
     rows[:4] += 300
     ids = r.permutation(4000)
     queries = np.array([[3, 1, 2], [0, 0, 5], [-1, 4, 0], [0, 0, 0]])
-    for (q, found, scores), query in zip(sorted(search(ids, rows, np.arange(10_000, 10_004), queries, 5), key=lambda x: x[0]), queries):
+    unknown = np.full(4, -(2**63))
+    for (q, found, scores, met), query in zip(search(ids, rows, np.arange(10_000, 10_004), queries, unknown, 5), queries):
         s = rows @ query
         best = np.lexsort((ids, -s))[:5]
         assert found.tolist() == ids[best].tolist() and scores.tolist() == s[best].tolist()
+        assert met < 2000 or not query.any()
+    floors = np.array([np.sort(rows @ q)[-5] for q in queries])
+    assert all(set(ids[np.lexsort((ids, -(rows @ q)))[:5]]) <= set(f[1].tolist()) | set(ids[rows @ q == np.sort(rows @ q)[-5]]) for f, q in zip(search(ids, rows, np.arange(10_000, 10_004), queries, floors, 5), queries))
     big = np.array([[2**62, 2**62], [-(2**62), 1]])
-    assert [x[2].tolist() for x in search(np.array([1, 2]), big, np.array([9]), np.array([[4, 4]]), 5)] == [[2**63 - 1, -(2**63)]]
+    assert [x[2].tolist() for x in search(np.array([1, 2]), big, np.array([9]), np.array([[4, 4]]), unknown, 5)] == [[2**63 - 1, -(2**63)]]
+
+
+def test_bound_is_no_less_than_any_product():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        d = int(r.integers(1, 12))
+        rows = r.integers(-30, 30, (200, d))
+        query = r.integers(-9, 10, d)
+        length = float(np.sqrt((rows**2).sum(axis=1).max()))
+        reached = rows[r.integers(0, 200)]
+        below = rows[((rows * np.sign(query) <= reached * np.sign(query)) | (query == 0)).all(axis=1)]
+        assert (below @ query).max() <= bound(query, reached, length) <= int(np.abs(query) @ np.maximum(reached * np.sign(query), -30)) + 2
+
+
+def test_threshold_search_in_many_dimensions(spark):
+    """64 dimensions, several blocks, groups of like vectors: equal to brute force, and queries stop before they met all rows."""
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(12, 64)) * np.exp(-np.arange(64) / 6)
+    vectors = centres[r.integers(0, 12, 9000)] + r.normal(size=(9000, 64)) * 0.01
+    rows = [(int(k), [float(x) for x in v]) for k, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = threshold_search(df, every=500).collect()
+    whole = np.floor(256 * vectors).astype(np.int64)
+    wanted = set()
+    for q in range(0, 9000, 500):
+        s = whole @ whole[q]
+        s[q] = s.min() - 1
+        wanted |= {(q, k, int(j), int(s[j])) for k, j in enumerate(np.lexsort((np.arange(9000), -s))[:5], 1)}
+    assert {(x.query_id, x.rank, x.vec_id, x.score) for x in found} == wanted
+    assert min(x.met for x in found) < 2000
 
 
 def test_media(spark, docs, rows, empty):
@@ -255,6 +300,28 @@ def test_assignment_fills_as_few_sequences_as_hold_the_tokens(seed):
     assert len(used) == whole + -(-sum(n % 2048 for n in sizes) // 2048)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_assignment_takes_the_cheapest_sequence_with_room(seed):
+    r = random.Random(seed)
+    sizes = [r.choice((1, 5, 30, 90, 120, 400, r.randrange(1, 200))) for _ in range(r.choice((1, 40, 150)))]
+    capacity, cost = 128, lambda n: n + n * n / 2048
+    wanted, number = [], 0
+    for d, size in enumerate(sizes):
+        for start in range(0, size - capacity + 1, capacity):
+            wanted.append((d, start, capacity, number, 0))
+            number += 1
+    rest = sorted(((size % capacity, d, size - size % capacity) for d, size in enumerate(sizes) if size % capacity), key=lambda x: (-x[0], x[1]))
+    bins = [[0.0, k, 0] for k in range(-(-sum(x[0] for x in rest) // capacity))]
+    for length, d, start in rest:
+        while length:
+            open_bins = [b for b in bins if b[2] + length <= capacity] or [b for b in bins if b[2] < capacity]
+            b = min(open_bins)
+            take = min(length, capacity - b[2])
+            wanted.append((d, start, take, number + b[1], b[2]))
+            b[0], b[2], length, start = b[0] + cost(take), b[2] + take, length - take, start + take
+    assert sorted(packing.assign(sizes, capacity, 1.0, 1 / 2048)) == sorted(wanted)
+
+
 def test_id_store(docs, rows, empty):
     t = tokens_of(WORD_BPE)
     out = sorted(id_store.id_store(docs, tokenizer(WORD_BPE)).collect(), key=lambda r: r.start)
