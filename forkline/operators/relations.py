@@ -12,12 +12,11 @@ from forkline.session import materialised
 def longest_prefix(rows: DataFrame, path: str, roots: DataFrame) -> DataFrame:
     """Each row with the longest root (column root) that is its path or a directory above it; root null if none is.
 
-    Prefixes of the path are exploded and met by an equi-join; no pair of row and root is compared.
+    Prefixes of each distinct path are exploded and met by an equi-join; no pair of row and root is compared.
     """
-    keyed = rows.withColumn("row_key", F.monotonically_increasing_id())
-    steps = keyed.select("row_key", F.explode(path_prefixes(F.col(path))).alias("root"))
-    found = steps.join(roots.select("root").distinct(), "root").groupBy("row_key").agg(F.max_by("root", F.length("root")).alias("root"))
-    return keyed.join(found, "row_key", "left").drop("row_key")
+    steps = rows.select(path).distinct().select(path, F.explode(path_prefixes(F.col(path))).alias("root"))
+    found = steps.join(roots.select("root").distinct(), "root").groupBy(path).agg(F.max_by("root", F.length("root")).alias("root"))
+    return rows.join(found, path, "left").select(*rows.columns, "root")
 
 
 def minimal_dirs(dirs: DataFrame) -> DataFrame:
@@ -42,18 +41,38 @@ def _segments_match(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(same, lambda s: s)
 
 
+def _end(segments: Column, route: bool, place: int) -> Column:
+    """Keys by the segment at ``place``: a call and a route whose segments there match have exactly one in common, others none.
+
+    A literal of a call meets the same literal or any placeholder of a route; a placeholder of a call meets whatever a route has.
+    """
+    word = F.coalesce(F.try_element_at(segments, F.lit(place)), F.lit(""))
+    literal = F.concat(F.lit("="), word)
+    if route:
+        return F.array(F.when(is_placeholder(word), F.lit("*")).otherwise(literal), F.lit("?"))
+    return F.when(is_placeholder(word), F.array(F.lit("?"))).otherwise(F.array(literal, F.lit("*")))
+
+
 def route_match(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """The route each call (call_id, method, segments) names: call_id, route, confidence.
 
     A unique route whose segments all match (placeholders match anything) is ``resolved``; else a unique one whose last
     segments the call's match, or the other way round, is ``inferred``; more than one at a tier names none.  Calls and routes meet by
-    method and last literal segment or number of segments, so that only plausible pairs are compared.
+    method, number of segments, first and last segment, or by method and last segment, so that only plausible pairs are compared.
     """
     r = routes.select("route", "method", F.col("segments").alias("route_segments"))
-    full = calls.join(r, "method").where(_segments_match(F.col("segments"), F.col("route_segments")))
+
+    def keyed(rows: DataFrame, segments: str, route: bool, size: bool) -> DataFrame:
+        rows = rows.withColumn("size", F.size(segments) if size else F.lit(0)).withColumn("last", F.explode(_end(F.col(segments), route, -1)))
+        return rows.withColumn("first", F.explode(_end(F.col(segments), route, 1))) if size else rows.withColumn("first", F.lit(""))
+
+    def meet(size: bool) -> DataFrame:
+        return keyed(calls, "segments", False, size).join(keyed(r, "route_segments", True, size), ["method", "size", "first", "last"])
+
+    full = meet(True).where(_segments_match(F.col("segments"), F.col("route_segments")))
     n = F.least(F.size("segments"), F.size("route_segments"))
     tail = lambda c: F.slice(c, F.size(c) - n + 1, n)
-    suffix = calls.join(r, "method").where((n > 0) & (F.size("segments") != F.size("route_segments")) & _segments_match(tail(F.col("segments")), tail(F.col("route_segments"))))
+    suffix = meet(False).where((n > 0) & (F.size("segments") != F.size("route_segments")) & _segments_match(tail(F.col("segments")), tail(F.col("route_segments"))))
     unique = lambda df, word: df.groupBy("call_id").agg(F.countDistinct("route").alias("n"), F.min("route").alias("route")).select("call_id", "n", "route", F.lit(word).alias("confidence"))
     first = unique(full, "resolved")
     second = unique(suffix.join(first, "call_id", "left_anti"), "inferred")

@@ -35,10 +35,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, local mode) a temporary one becomes it."""
+    """The folder in spark.checkpoint.dir; where it is unset a temporary one becomes it, in local mode alone: on a cluster
+    executors would not see it."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="forkline-"))
         found = context.getCheckpointDir()
     return found

@@ -114,15 +114,20 @@ def terminal(body: list[ast.stmt]) -> str:
 class FileFacts:
     """Rows of one file."""
 
-    def __init__(self, repo: str, path: str, content: str) -> None:
+    def __init__(self, repo: str, path: str, content: str | None) -> None:
         self.repo, self.path, self.rows = repo, path, []
         self.flattened: set[ast.If] = set()  # ``elif``: arms of the ``if`` above
         self.module = path.removesuffix(".py").replace("/", ".")
         try:
-            tree = ast.parse(content)
-        except (SyntaxError, ValueError):
+            if content is None:
+                raise ValueError("no content")
+            self.read(content)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last two: nesting too deep for the parser or for us
+            self.rows.clear()
             self.add("unparsed", name=self.module)
-            return
+
+    def read(self, content: str) -> None:
+        tree = ast.parse(content)
         self.add("module", name=self.module)
         for node in ast.walk(tree):
             self.imported(node)
@@ -272,11 +277,12 @@ class FileFacts:
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches:
         for repo, path, content in zip(*(part.column(k).to_pylist() for k in range(3))):
-            rows = FileFacts(repo, path, content or "").rows
+            rows = FileFacts(repo, path, content).rows
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
 def facts(sources: DataFrame) -> DataFrame:
-    """Rows of all files (repo, path, content); a file that does not parse gives one ``unparsed`` row."""
+    """Rows of all files (repo, path, content); a file that does not parse, is nested too deeply or has no content gives one
+    ``unparsed`` row, a row without path none."""
     ship(sources.sparkSession)
-    return sources.select("repo", "path", "content").mapInArrow(_facts, FACTS)
+    return sources.where("path is not null").select("repo", "path", "content").mapInArrow(_facts, FACTS)

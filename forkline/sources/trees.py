@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import lzma
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,12 +58,15 @@ def without_nested_repos(paths: DataFrame) -> DataFrame:
 
 
 def read_tree(spark: SparkSession, root: str, repo: str, directories: list[str] | None = None, tests: bool = False) -> DataFrame:
-    """Source files below ``root`` (any path Spark reads): names are filtered before any content is decoded."""
+    """Source files below ``root`` (any path Spark reads): names are filtered before any content is decoded.
+
+    Bytes that are no UTF-8 become U+FFFD.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root)
     base = "/" + root.split("://")[-1].strip("/").split(":")[-1].strip("/") + "/"
     path = F.element_at(F.split("path", base, 2), 2)
     kept = files.select(F.lit(repo).alias("repo"), path.alias("path"), "content").where(is_source(F.col("path")) | F.lit(tests)).where(under_any(F.col("path"), directories))
-    return kept.select("repo", "path", F.decode("content", "UTF-8").alias("content"))
+    return kept.select("repo", "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def _members(most: int):
@@ -69,14 +74,21 @@ def _members(most: int):
         for part in batches:
             for repo, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 rows: list[tuple] = []
-                with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as archive:
-                    for member in archive:
-                        parts = member.name.split("/")
-                        if member.isfile() and not member.name.startswith("/") and ".." not in parts and member.size <= most:
-                            rows.append((repo, member.name.removeprefix("./"), archive.extractfile(member).read().decode("utf-8", errors="replace")))
-                        if len(rows) == 500:
-                            yield _batch(rows)
-                            rows = []
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(data or b""), mode="r:*") as archive:
+                        for member in archive:
+                            parts, name = member.name.split("/"), member.name.removeprefix("./")
+                            if not member.isfile() or member.name.startswith("/") or ".." in parts:
+                                continue
+                            if member.size > most:
+                                rows.append((repo, name, None, f"too large: {member.size}"))
+                            else:
+                                rows.append((repo, name, archive.extractfile(member).read().decode("utf-8", errors="replace"), None))
+                            if len(rows) == 500:
+                                yield _batch(rows)
+                                rows = []
+                except (tarfile.TarError, EOFError, OSError, zlib.error, lzma.LZMAError) as error:
+                    rows.append((repo, None, None, f"damaged: {type(error).__name__}"))
                 if rows:
                     yield _batch(rows)
 
@@ -84,13 +96,14 @@ def _members(most: int):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)], names=["repo", "path", "content"])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)], names=["repo", "path", "content", "problem"])
 
 
 def read_archives(archives: DataFrame, most: int = 4 << 20) -> DataFrame:
-    """Members of tar archives (repo, data: binary; gzip or plain): links, devices and names that leave the archive are skipped.
+    """Members of tar archives (repo, data: binary; compressed or plain): links, devices and names that leave the archive are skipped.
 
-    Nothing is extracted to disk; members of more than ``most`` bytes are skipped.
+    Nothing is extracted to disk.  Members of more than ``most`` bytes have null content, and an archive that is damaged
+    gives the members before the damage and a row without path; ``problem`` says why, and is null for all others.
     """
     ship(archives.sparkSession)
-    return archives.select("repo", "data").mapInArrow(_members(most), SCHEMA)
+    return archives.select("repo", "data").mapInArrow(_members(most), SCHEMA + ", problem string")

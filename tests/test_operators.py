@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from forkline.functions import text as T
 from forkline.operators import graph, ranking, relations
+from forkline.sources.facts import facts
 from forkline.sources.trees import is_source, is_test_path, read_archives, read_tree, without_nested_repos
 
 
@@ -148,7 +149,42 @@ def test_tree_and_archive(spark, tmp_path):
             info.size = len(data)
             tar.addfile(info, io.BytesIO(data))
     df = spark.createDataFrame([("r", bytearray(out.getvalue()))], "repo string, data binary")
-    assert [tuple(r) for r in read_archives(df).collect()] == [("r", "ok.py", "y")]
+    assert [tuple(r)[:3] for r in read_archives(df).collect()] == [("r", "ok.py", "y")]
+    assert {tuple(r) for r in read_archives(df, most=0).collect()} == {("r", "ok.py", None, "too large: 1")}
+    bad = spark.createDataFrame([("b", b"no archive"), ("n", None)], "repo string, data binary")
+    assert {(r.repo, r.path, r.content, r.problem[:7]) for r in read_archives(bad).collect()} == {("b", None, None, "damaged"), ("n", None, None, "damaged")}
+    assert facts(read_archives(bad)).count() == 0
+
+
+def test_odd_files_give_one_row_each(spark, tmp_path):
+    (tmp_path / "latin.py").write_bytes("x = 'é'\n".encode("latin-1"))
+    assert [r.content for r in read_tree(spark, str(tmp_path), "r").collect()] == ["x = '\ufffd'\n"]
+    files = [("r", "deep.py", "x = " + "+".join(["a"] * 20000)), ("r", "open.py", "(" * 500), ("r", "none.py", None), ("r", "ok.py", "x = 1")]
+    found = facts(spark.createDataFrame(files, "repo string, path string, content string"))
+    assert {(r.path, r.kind) for r in found.where("kind in ('unparsed', 'module')").collect()} == {("deep.py", "unparsed"), ("open.py", "unparsed"), ("none.py", "unparsed"), ("ok.py", "module")}
+    assert found.where("kind <> 'unparsed' and path <> 'ok.py'").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_route_match_is_what_comparing_all_finds(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    word = lambda: r.choice(["a", "b", "c", "{x}", ":y"])
+    calls = [(k, r.choice(["GET", "PUT"]), [word() for _ in range(r.randrange(4))]) for k in range(120)]
+    routes = [(f"r{k}", r.choice(["GET", "PUT"]), [word() for _ in range(r.randrange(4))]) for k in range(12)]
+    hole = lambda s: s.startswith("{")
+    fit = lambda a, b: len(a) == len(b) and all(x == y or hole(x) or hole(y) for x, y in zip(a, b))
+    wanted = set()
+    for k, method, seg in calls:
+        first = {n for n, m, s in routes if m == method and fit(seg, s)}
+        tail = {n for n, m, s in routes if m == method and len(s) != len(seg) and (w := min(len(s), len(seg))) and fit(seg[-w:], s[-w:])}
+        if len(first) == 1:
+            wanted.add((k, min(first), "resolved"))
+        elif not first and len(tail) == 1:
+            wanted.add((k, min(tail), "inferred"))
+    found = relations.route_match(spark.createDataFrame(calls, "call_id long, method string, segments array<string>"), spark.createDataFrame(routes, "route string, method string, segments array<string>"))
+    assert {tuple(x) for x in found.collect()} == wanted
 
 
 def test_store_upserts(spark, tmp_path):
