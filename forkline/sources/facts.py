@@ -14,6 +14,10 @@ fork      owner (function), name (kind), detail (selector), extra (names read),
 arm       owner (function), name (label), detail (terminal), extra (fork line and column), ordinal
 route     owner (function), name (method), detail (path), extra (router)
 const     owner (module), name, detail (string)
+table     owner (module), name, detail (dotted value), extra (key), ordinal: entries of a dict of constants to names
+lookup    owner (function), name (table), detail (key as written), ordinal (column): a call of what a table holds
+argref    as call, of which it is an argument, but name and extra are those of the argument, a dotted name
+pattern   owner (module), name (route), detail (view, class or include), extra (dotted name), ordinal: a url pattern
 
 ``args`` is what the whole tree of a call says of its arguments: where the call ends, the dotted name and the string given first,
 the first string, the first string with those put together or wrapped by calls (an SQL statement), and the keyword ``prefix``.
@@ -40,6 +44,8 @@ _ARGS = pa.struct([("end_line", pa.int32()), ("end_column", pa.int32()), *((c, p
 _TYPES = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), _FRAMES, pa.bool_(), _ARGS)
 _NAMES = [c.split()[0] for c in FACTS.split(", ")]
 VERBS = ("get", "post", "put", "patch", "delete")
+# Functions that make a url pattern.
+URL_CALLS = ("path", "re_path", "url")
 Def = ast.FunctionDef | ast.AsyncFunctionDef
 
 
@@ -139,6 +145,7 @@ class FileFacts:
                 self.class_(node)
             elif not isinstance(node, (ast.Import, ast.ImportFrom)):
                 rest.append(node)
+                self.module_level(node)
                 if isinstance(node, ast.Assign) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
                     for t in node.targets:
                         if isinstance(t, ast.Name):
@@ -150,6 +157,30 @@ class FileFacts:
     def add(self, kind: str, ordinal: int = 0, owner: str = "", name: str = "", detail: str | None = None, line: int = 0, end_line: int = 0, extra: list[str] | None = None, frames: tuple = (), flag: bool = False, args: dict | None = None) -> None:
         self.rows.append((self.repo, self.path, kind, ordinal, owner, name, detail or "", line, end_line or line, extra or [], [dict(zip(("kind", "site", "arm"), f)) for f in frames], flag, args))
 
+    def module_level(self, node: ast.stmt) -> None:
+        """Tables of names and url patterns."""
+        targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, (ast.AnnAssign, ast.AugAssign)) else []
+        value = node.value if targets else None
+        for name in (t.id for t in targets if isinstance(t, ast.Name)):
+            if isinstance(value, ast.Dict) and value.keys and all(isinstance(k, ast.Constant) for k in value.keys) and all(map(dotted, value.values)):
+                for k, (key, to) in enumerate(zip(value.keys, value.values)):
+                    self.add("table", k, self.module, name, ".".join(dotted(to)), key.lineno, extra=[str(key.value)])
+            if name == "urlpatterns" and value is not None:
+                for part in ast.walk(value):
+                    for k, item in enumerate(part.elts if isinstance(part, ast.List) else ()):
+                        self.pattern(item, k)
+
+    def pattern(self, node: ast.expr, k: int) -> None:
+        if not (isinstance(node, ast.Call) and (dotted(node.func) or [""])[-1] in URL_CALLS and len(node.args) > 1 and string(node.args[0]) is not None):
+            return
+        view, kind, to = node.args[1], "view", dotted(node.args[1])
+        if isinstance(view, ast.Call) and isinstance(view.func, ast.Attribute) and view.func.attr == "as_view":
+            kind, to = "class", dotted(view.func.value)
+        elif isinstance(view, ast.Call) and (dotted(view.func) or [""])[-1] == "include" and view.args:
+            kind, to = "include", [string(view.args[0])] if string(view.args[0]) is not None else dotted(view.args[0])
+        if to:
+            self.add("pattern", k, self.module, string(node.args[0]), kind, node.lineno, extra=[".".join(to)])
+
     def imported(self, node: ast.AST) -> None:
         if isinstance(node, ast.Import):
             for a in node.names:
@@ -267,10 +298,48 @@ class FileFacts:
             span = [str(min(s.lineno for s in body)), str(max(s.end_lineno for s in body))] if body else ["0", "-1"]
             self.add("arm", k, owner, label[:120], terminal(body), node.lineno, node.end_lineno, key + span)
 
+    def chosen(self, node: ast.Call, owner: str) -> None:
+        """Calls of what is picked at run time: from a table by a key, or by a name that is worked out."""
+        func, table, key, name = node.func, None, None, None
+        if isinstance(func, ast.Subscript):
+            if isinstance(func.value, ast.Name):
+                table, key = func.value.id, func.slice
+            elif isinstance(func.value, ast.Call) and dotted(func.value.func) == ["globals"]:
+                name = func.slice
+        elif isinstance(func, ast.Call):
+            inner = dotted(func.func)
+            if inner == ["getattr"] and len(func.args) > 1:
+                name = func.args[1]
+            elif inner and len(inner) == 2 and inner[1] == "get" and func.args:
+                table, key = inner[0], func.args[0]
+        if table:
+            self.add("lookup", node.col_offset, owner, table, ast.unparse(key), node.lineno, node.end_lineno)
+        if name is not None and not isinstance(name, ast.Constant):
+            where = [str(node.lineno), str(node.col_offset)]
+            self.add("fork", node.col_offset, owner, "dynamic", ast.unparse(name)[:120], node.lineno, node.end_lineno, flag=True)
+            start = name.values[0] if isinstance(name, ast.JoinedStr) and name.values else None
+            if isinstance(start, ast.Constant):
+                self.add("arm", 0, owner, f"{start.value}*", "falls_through", node.lineno, node.end_lineno, [*where, "0", "-1"])
+
+    def ternary(self, node: ast.IfExp, owner: str) -> None:
+        """A conditional expression with a call in it is a fork; its arms have the calls of their lines."""
+        if any(isinstance(x, ast.Call) for x in ast.walk(node)):
+            reads = list(dict.fromkeys(".".join(p) for x in ast.walk(node.test) if (p := dotted(x))))
+            self.add("fork", node.col_offset, owner, "branch", ast.unparse(node.test)[:120], node.lineno, node.end_lineno, reads, flag=True)
+            for k, (label, side) in enumerate(((ast.unparse(node.test), node.body), ("else", node.orelse))):
+                self.add("arm", k, owner, label[:120], "falls_through", node.lineno, node.end_lineno, [str(node.lineno), str(node.col_offset), str(side.lineno), str(side.end_lineno)])
+
     def calls(self, node: ast.AST, owner: str, frames: tuple, loop: bool) -> None:
         found = [n for n in ast.walk(node) if isinstance(n, ast.Call)]
+        for n in ast.walk(node):
+            if isinstance(n, ast.IfExp):
+                self.ternary(n, owner)
         for n in sorted(found, key=lambda c: (c.lineno, c.col_offset, -(c.end_col_offset or 0))):
             parts = dotted(n.func)
+            self.chosen(n, owner)
+            for a in [*n.args, *(k.value for k in n.keywords)]:
+                if to := dotted(a):
+                    self.add("argref", n.col_offset, owner, to[0], ast.unparse(n)[:120], n.lineno, n.end_lineno, to[1:], frames, loop, arguments(n))
             self.add("call", n.col_offset, owner, parts[0] if parts else "", ast.unparse(n)[:120], n.lineno, n.end_lineno, parts[1:] if parts else [], frames, loop, arguments(n))
 
 
