@@ -30,7 +30,7 @@ def descendants(contained: DataFrame, asked: DataFrame, rounds: int = 1000) -> D
     """Those pairs (node, ancestor) of ``asked`` where the node lies, at any depth, in the ancestor."""
     step = materialised(contained.select(F.col("node").alias("at"), "container").where("container is not null").distinct())
     left = materialised(asked.select("node", "ancestor", F.col("node").alias("at")).distinct())
-    found, seen = None, left
+    found, seen = None, left.where("at <> ancestor")  # a node of a cycle may come back to itself
     for _ in range(rounds):
         up = materialised(left.join(step, "at").select("node", "ancestor", F.col("container").alias("at")).distinct().join(seen, ["node", "ancestor", "at"], "left_anti"))
         hit = up.where("at = ancestor").select("node", "ancestor")

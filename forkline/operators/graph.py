@@ -159,16 +159,19 @@ def bridged(edges: DataFrame, dropped: DataFrame) -> DataFrame:
     return rest.select("src", "dst").union(over).where("src <> dst").distinct()
 
 
-def unary_chains(edges: DataFrame, least: int = 3, rounds: int = 40) -> DataFrame:
+def unary_chains(edges: DataFrame, least: int = 3, rounds: int = 40, barred: DataFrame | None = None) -> DataFrame:
     """Maximal runs of nodes with one way in and one way on: head, node, position, length; runs of ``least`` nodes or more.
 
     A node continues the run of its predecessor if that has one successor and it one predecessor.  Positions are found by
-    pointer doubling; nodes of a cycle are in no run.
+    pointer doubling; nodes of a cycle are in no run, nor are those of ``barred`` (node), whose edges count nevertheless.
     """
     step = edges.select("src", "dst").distinct()
     one_out = step.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1")
     one_in = step.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("src")).where("n = 1")
-    links = materialised(one_out.join(one_in.select("src", "dst"), ["src", "dst"]).select(F.col("dst").alias("node"), F.col("src").alias("head")))
+    tied = one_out.join(one_in.select("src", "dst"), ["src", "dst"]).select("src", "dst")
+    if barred is not None:
+        tied = tied.join(barred.select(F.col("node").alias("src")), "src", "left_anti").join(barred.select(F.col("node").alias("dst")), "dst", "left_anti")
+    links = materialised(tied.select(F.col("dst").alias("node"), F.col("src").alias("head")))
     nodes = links.select("node").union(links.select(F.col("head").alias("node"))).distinct()
     at = materialised(nodes.join(links, "node", "left").select("node", F.coalesce("head", "node").alias("head"), F.when(F.col("head").isNull(), 0).otherwise(1).cast("long").alias("position")))
     for _ in range(rounds):
