@@ -7,11 +7,14 @@ may be carried by putting them into the keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forkline.session import materialised
 
+#: Rounds of HITS from one scaling to the next: 10 sums of products, so that degrees of 10^20 would still be in range.
+UNSCALED = 5
+
 
 def transitive_closure(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """All pairs (src, dst) with a path of one edge or more; cycles reach themselves."""
@@ -121,24 +124,29 @@ def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
 
 
 def hits(edges: DataFrame, iterations: int = 50, digits: int = 6) -> DataFrame:
-    """Hub and authority of weighted edges (src, dst, weight): node, hub, authority.
+    """Hub and authority of weighted edges (src, dst, weight of zero or more), after one round or more: node, hub, authority.
 
-    Authority is the weighted sum of hubs, a hub the weighted sum of the new authorities before they are scaled; both are then
-    scaled to a sum of one (left as they are if the sum is not positive).  Rounded half to even.
+    Authority is the weighted sum of hubs, a hub the weighted sum of the new authorities; both are scaled to a sum of one (left
+    as they are if the sum is not positive).  A round is linear, so that scaling waits for the table that ends each ``UNSCALED``
+    rounds, which also cuts the lineage: their scores stay far below what a double can hold.  Rounded half to even.
     """
     step = materialised(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    nodes = materialised(step.select(F.col("src").alias("node")).union(step.select("dst")).distinct())
-    scores = nodes.withColumns({"hub": F.lit(1.0), "authority": F.lit(1.0)})
+    nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
+
+    def scaled(scores: DataFrame, name: str) -> Column:
+        total = scores.agg(F.sum(name)).scalar()
+        return F.when(total > 0, F.col(name) / total).otherwise(F.col(name))
+
+    hub = step.select("src").distinct().withColumn("hub", F.lit(1.0))
     for k in range(iterations):
-        hub = scores.select(F.col("node").alias("src"), "hub")
-        authority = step.join(hub, "src").groupBy("dst").agg(F.sum(F.col("weight") * F.col("hub")).alias("a"))
-        new_hub = step.join(authority, "dst").groupBy("src").agg(F.sum(F.col("weight") * F.col("a")).alias("h"))
-        raw = nodes.join(authority.withColumnRenamed("dst", "node"), "node", "left").join(new_hub.withColumnRenamed("src", "node"), "node", "left").fillna(0.0, ["a", "h"])
-        raw = materialised(raw)
-        scale = lambda x: F.when(F.col(f"sum_{x}") > 0, F.col(x) / F.col(f"sum_{x}")).otherwise(F.col(x))
-        summed = raw.withColumns({"sum_h": raw.agg(F.sum("h")).scalar(), "sum_a": raw.agg(F.sum("a")).scalar()})
-        scores = summed.select("node", scale("h").alias("hub"), scale("a").alias("authority"))
-    return scores.select("node", F.bround("hub", digits).alias("hub"), F.bround("authority", digits).alias("authority"))
+        if k % UNSCALED == 0 and k:
+            hub = materialised(hub)
+            hub = hub.withColumn("hub", scaled(hub, "hub"))
+        authority = step.join(hub, "src").groupBy("dst").agg(F.sum(F.col("weight") * F.col("hub")).alias("authority"))
+        hub = step.join(authority, "dst").groupBy("src").agg(F.sum(F.col("weight") * F.col("authority")).alias("hub"))
+    raw = nodes.join(authority.withColumnRenamed("dst", "node"), "node", "left").join(hub.withColumnRenamed("src", "node"), "node", "left")
+    raw = materialised(raw.fillna(0.0, ["hub", "authority"]))
+    return raw.select("node", F.bround(scaled(raw, "hub"), digits).alias("hub"), F.bround(scaled(raw, "authority"), digits).alias("authority"))
 
 
 def edge_contract(edges: DataFrame, hosts: DataFrame) -> DataFrame:

@@ -126,9 +126,9 @@ def route_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest directory of other pages on the way to each page."""
+    """The longest directory that lies on the way to each page, out of those of all pages."""
     pages = _pages(spark, sf_dir).select("page_id", F.concat("host", "path").alias("full"))
-    roots = pages.where("page_id % 3 = 0").select(F.regexp_replace("full", "/[^/]*$", "").alias("root"))
+    roots = pages.select(F.regexp_replace("full", "/[^/]*$", "").alias("root"))
     return J.longest_prefix(pages, "full", roots).select("page_id", "root")
 
 
@@ -143,7 +143,7 @@ def route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose kinds of events (type and hour) are all among another's."""
-    events = tables(spark, sf_dir, "events").where("user_id % 3 = 0").select("user_id", F.concat("event_type", (F.hour("ts") % 2).cast("string")).alias("kind"))
+    events = tables(spark, sf_dir, "events").select("user_id", F.concat("event_type", (F.hour("ts") % 2).cast("string")).alias("kind"))
     return J.subset_join(events, "user_id", "kind")
 
 
@@ -189,10 +189,10 @@ def fingerprint_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of documents, then a second version in which every seventh text is another and new ids are added."""
+    """A table of documents, then a second version in which every seventh text is another and new ids are added; each document is in one or both."""
     docs = tables(spark, sf_dir, "documents")
     first = docs.where("doc_id % 2 = 0").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    second = docs.where("doc_id % 4 <> 1").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"))
+    second = docs.where("doc_id % 4 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"))
     return J.upsert(first, second, ["doc_id"], "content_hash")
 
 
@@ -323,7 +323,7 @@ SELECT DISTINCT user_id, event_type, CASE WHEN n > 3 THEN m ELSE event_id END AS
 r AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey)::BIGINT AS total, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderstatus) AS k FROM c)
 SELECT o_custkey, o_orderstatus, n, total FROM r WHERE k = 1 AND n >= 0.6 * total""",
     "route_group": f"""WITH {_PAGES} SELECT CASE WHEN count(*) >= 2 THEN 'entry:group:' || host ELSE 'entry:' || host END AS entry, count(*) AS route_count, min(page_id) AS first_page FROM pg GROUP BY host""",
-    "longest_prefix": f"""WITH {_PAGES}, roots AS (SELECT DISTINCT regexp_replace(host || path, '/[^/]*$', '') AS root FROM pg WHERE page_id % 3 = 0),
+    "longest_prefix": f"""WITH {_PAGES}, roots AS (SELECT DISTINCT regexp_replace(host || path, '/[^/]*$', '') AS root FROM pg),
 n AS (SELECT page_id, array_to_string({_SEG.format("host || path")}, '/') AS full_path FROM pg)
 SELECT n.page_id, arg_max(root, length(root)) AS root FROM n LEFT JOIN roots ON full_path = root OR starts_with(full_path, root || '/') GROUP BY n.page_id""",
     "route_match": f"""WITH {_PAGES}, c AS (SELECT page_id AS call_id, {_SEG.format("path")} AS s FROM pg),
@@ -336,7 +336,7 @@ z AS (SELECT call_id, route, len(a) = len(b) AS same, n,
 f1 AS (SELECT call_id, count(DISTINCT route) AS k, min(route) AS route FROM z WHERE same AND hit GROUP BY call_id),
 s1 AS (SELECT call_id, count(DISTINCT route) AS k, min(route) AS route FROM z WHERE NOT same AND hit AND n > 0 AND call_id NOT IN (SELECT call_id FROM f1) GROUP BY call_id)
 SELECT call_id, route, 'resolved' AS confidence FROM f1 WHERE k = 1 UNION ALL SELECT call_id, route, 'inferred' FROM s1 WHERE k = 1""",
-    "subset_join": """WITH s AS (SELECT DISTINCT user_id, event_type || (hour(ts) % 2)::VARCHAR AS kind FROM events WHERE user_id % 3 = 0),
+    "subset_join": """WITH s AS (SELECT DISTINCT user_id, event_type || (hour(ts) % 2)::VARCHAR AS kind FROM events),
 o AS (SELECT DISTINCT user_id FROM s)
 SELECT a.user_id AS small, b.user_id AS large FROM o a, o b WHERE a.user_id <> b.user_id AND NOT EXISTS (
   SELECT 1 FROM s x WHERE x.user_id = a.user_id AND NOT EXISTS (SELECT 1 FROM s y WHERE y.user_id = b.user_id AND y.kind = x.kind))""",
@@ -352,7 +352,7 @@ SELECT a.user_id, count(*) AS crossings FROM t a JOIN t b ON a.user_id = b.user_
     "fingerprint_dedupe": """WITH f AS (SELECT doc_id, source, sha256('v1' || chr(31) || coalesce(lang, '') || chr(31) || coalesce(text, '')) AS fingerprint FROM documents)
 SELECT fingerprint, min(doc_id) AS doc_id, count(*) AS copies FROM f WHERE fingerprint NOT IN (SELECT fingerprint FROM f WHERE source = 'src1') GROUP BY 1""",
     "content_upsert": """WITH a AS (SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 2 = 0),
-b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents WHERE doc_id % 4 <> 1)
+b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents WHERE doc_id % 4 <> 0)
 SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.content_hash, a.content_hash) AS content_hash FROM a FULL JOIN b ON a.doc_id = b.doc_id""",
     "humanize_label": r"""WITH n AS (SELECT p_partkey, p_name, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || '_itemView' AS last FROM part),
 w AS (SELECT p_partkey, p_name, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(last, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '_+', ' ', 'g'), '\s+'), lambda x: x <> '') AS words FROM n)

@@ -27,8 +27,8 @@ def test_parts_of_every_supplier(spark, tmp_path):
 
 
 def _orders(spark, folder, orders):
-    rows = [(o, k, p, 1) for o, parts in enumerate(orders) for k, p in enumerate(parts)]
-    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(folder / "lineitem.parquet"))
+    rows = [(o, k, p, 1, 1.0) for o, parts in enumerate(orders) for k, p in enumerate(parts)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(folder / "lineitem.parquet"))
     return str(folder)
 
 
@@ -37,12 +37,13 @@ def test_every_succession_is_an_edge(spark, tmp_path):
 
     folder = _orders(spark, tmp_path, [[1, 2, 5], [1, 3, 5], [1, 4], [4, 5], [6, 7, 8]])
     assert {tuple(e) for e in g.successions(spark, folder).collect()} == {(1, 2), (2, 5), (1, 3), (3, 5), (1, 4), (4, 5), (6, 7), (7, 8)}
-    assert {tuple(r) for r in g.route_reach_all(spark, folder).collect()} == {(1, 0), (2, 1), (3, 1), (4, 1), (5, 2), (6, 0), (7, 1), (8, 2)}
-    assert {tuple(r) for r in g.unary_chains_all(spark, folder).select("head", "node", "position").collect()} == {(6, 6, 0), (6, 7, 1), (6, 8, 2)}
-    assert {r.node: r.reach for r in g.closure_reach_all(spark, folder).collect()} == {1: 4, 2: 1, 3: 1, 4: 1, 6: 2, 7: 1}
+    assert {tuple(r) for r in g.route_reach(spark, folder).collect()} == {(1, 0), (2, 1), (3, 1), (4, 1), (5, 2), (6, 0), (7, 1), (8, 2)}
+    chain = [f"{p}/1/1" for p in (6, 7, 8)]
+    assert {tuple(r) for r in g.unary_chains(spark, folder).select("head", "node", "position").collect()} == {(chain[0], node, k) for k, node in enumerate(chain)}
+    assert {r.node: r.reach for r in g.closure_reach(spark, folder).collect()} == {1: 4, 2: 1, 3: 1, 4: 1, 6: 2, 7: 1}
 
 
-def test_hidden_paths_choose_among_all(spark, tmp_path):
+def test_hidden_paths_choose_among(spark, tmp_path):
     from forkline.plans import graph_queries as g
 
     r = random.Random(8)
@@ -58,7 +59,7 @@ def test_hidden_paths_choose_among_all(spark, tmp_path):
         for key, path in ahead:
             frontier[key] = min(frontier.get(key, path), path)
     assert len(wanted) > 2
-    found = {(x.src, x.dst): (x.hops, x.path) for x in g.hidden_path_best_all(spark, _orders(spark, tmp_path, orders)).collect()}
+    found = {(x.src, x.dst): (x.hops, x.path) for x in g.hidden_path_best(spark, _orders(spark, tmp_path, orders)).collect()}
     assert found == wanted
 
 
@@ -73,13 +74,13 @@ def plain_hits(edges, rounds):
 
 
 def test_hits_run_to_the_reference_rounds(spark, tmp_path):
-    from forkline.plans.graph_queries import hits_supplier_part_50
+    from forkline.plans.graph_queries import hits_supplier_part
 
     pairs = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4), (4, 4), (4, 5), (5, 5), (5, 6), (5, 7)]
     spark.createDataFrame(pairs, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     edges = [(f"s{a}", f"p{b}", 1) for a, b in pairs]
     wanted, few = plain_hits(edges, 50), plain_hits(edges, 3)
-    found = {r.node: (r.hub, r.authority) for r in hits_supplier_part_50(spark, str(tmp_path)).collect()}
+    found = {r.node: (r.hub, r.authority) for r in hits_supplier_part(spark, str(tmp_path)).collect()}
     assert found.keys() == wanted.keys()
     assert all(abs(x - y) < 2e-6 for n in wanted for x, y in zip(found[n], wanted[n]))
     assert any(abs(few[n][0] - wanted[n][0]) > 1e-3 for n in wanted)
@@ -94,7 +95,7 @@ def test_flagship_and_pillars_use_all_rounds(spark, monkeypatch):
     seen, hits = [], graph.hits
     monkeypatch.setattr(graph, "hits", lambda edges, iterations=50: seen.append(iterations) or hits(edges, 1))
     assert Analysis(sources(spark)).pillars.count() > 0
-    graph_queries.flagship_50(spark, "/root/testdata/sf0.001")
+    graph_queries.flagship(spark, "/root/testdata/sf0.001")
     assert seen == [50, 50]
 
 
