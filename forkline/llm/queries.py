@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from forkline.llm.bpe import bpe_encode
 from forkline.llm.id_store import id_store
 from forkline.llm.media import media_columns
+from forkline.llm.middle import fill_in_middle, fill_in_middle_digests
+from forkline.llm.mixing import mixed
 from forkline.llm.ngram_join import ngram_join
 from forkline.llm.packing import packed
+from forkline.llm.prefix_trie import prefix_trie
 from forkline.llm.quality import quality
 from forkline.llm.substring_dedup import substring_dedup
 from forkline.llm.threshold_search import threshold_search
@@ -92,10 +95,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(tables(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(fill_in_middle(tables(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_ngram_join, op3_token_counts, op4_threshold_search, op5_media_columns, op6_substring_dedup, op7_packing, op8_id_store, op9_bpe, op10_quality,
+        op11_mixing, op12_prefix_trie, op13_fill_in_middle,
     )
 }
 
