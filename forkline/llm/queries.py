@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from forkline.llm.bpe import bpe_encode
 from forkline.llm.id_store import id_store
 from forkline.llm.media import media_columns
-from forkline.llm.middle import fill_in_middle, fill_in_middle_digests
+from forkline.llm.middle import fill_in_middle_digests, outputs
 from forkline.llm.mixing import mixed
 from forkline.llm.ngram_join import ngram_join
 from forkline.llm.packing import packed
@@ -104,7 +104,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill_in_middle_digests(fill_in_middle(tables(spark, sf_dir, "documents")))
+    return fill_in_middle_digests(*outputs(tables(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -133,5 +133,79 @@ fits AS (
   FROM parts p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.rule_verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.n = 1
+""",
+    "op11_mixing": r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         substr(sha256(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15) AS hash
+  FROM documents),
+sized AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+weighed AS (SELECT *, ((row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM sized),
+-- With the k sources of the least size for their weight at their limit, the others share what these leave.
+levels AS (
+  SELECT *, row_number() OVER w AS k,
+         (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+           / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST)),
+chosen AS (SELECT level FROM levels WHERE weight * level <= 3 * source_size ORDER BY k LIMIT 1),
+targets AS (SELECT source, source_size, least(weight * (SELECT level FROM chosen), 3.0::DOUBLE * source_size) AS target FROM weighed),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS whole,
+         CASE WHEN source_size > 0 AND floor(target / source_size) < 3 THEN target - floor(target / source_size) * source_size ELSE 0 END AS budget
+  FROM targets),
+run AS (
+  SELECT d.doc_id, d.size, b.source_size, b.target, b.whole, b.budget, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash) AS upto
+  FROM docs d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN budget > 0 AND upto - size <= budget AND upto - budget <= budget - (upto - size) OR upto <= budget AND budget > 0 THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM run
+""",
+    "op12_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         -- crc32, bit by bit
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::BIGINT)),
+             lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)),
+built AS (
+  SELECT i.conv_id, o.place, o.said FROM ids i JOIN own o ON o.conv_id = i.base AND o.place <= i.h
+  UNION ALL
+  SELECT i.conv_id, o.place, o.said FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.place > i.h),
+wholes AS (SELECT i.conv_id, list(b.said ORDER BY b.place) FILTER (b.said IS NOT NULL) AS turns FROM ids i LEFT JOIN built b ON b.conv_id = i.conv_id GROUP BY i.conv_id),
+paths AS (
+  SELECT conv_id, d, CASE WHEN d = 0 THEN '' ELSE sha256(turns[1:d]::VARCHAR) END AS node, CASE WHEN d < 2 THEN '' ELSE sha256(turns[1:d - 1]::VARCHAR) END AS parent,
+         coalesce(len(turns), 0) AS n, CASE WHEN d = 0 THEN 0 ELSE length(turns[d].text) END AS chars
+  FROM wholes, unnest(range(0, coalesce(len(turns), 0) + 1)) AS t(d)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, min(parent) AS parent, count(*) AS n_convs, max(n) = d AS childless, min(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends
+  FROM paths GROUP BY node, d),
+-- Each node and the nodes above it, by the path of its least member.
+above AS (SELECT n.conv_id, n.d AS under, n.n_convs, n.chars, n.childless, p.node, p.d FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.d <= n.d),
+sums AS (SELECT node, d, count(*) FILTER (childless) AS n_leaves, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (under = d + 1) AS n_children FROM above GROUP BY node, d)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, s.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node AND s.d = n.d LEFT JOIN nodes p ON n.d > 0 AND p.node = n.parent AND p.d = n.d - 1
+""",
+    "op13_fill_in_middle": r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+cut AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+         ('0x' || substr(s, 1, 8))::BIGINT AS h1, ('0x' || substr(s, 9, 8))::BIGINT AS h2, ('0x' || substr(s, 17, 8))::BIGINT AS h3, ('0x' || substr(s, 25, 8))::BIGINT AS h4
+  FROM hashed),
+formed AS (
+  SELECT *, len(lines) AS n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut),
+parts AS (
+  SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix FROM formed)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
 """,
 }
