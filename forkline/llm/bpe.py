@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forkline.llm.hashing import string_buffers
-from forkline.llm.pieces import BYTE_PIECES, PieceCache
+from forkline.llm.pieces import BYTE_PIECES, LETTERS, PieceCache
 from forkline.llm.memory import kept, tidy
 from forkline.session import ship
 
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FAR = np.iinfo(np.int64).max
 
 
@@ -40,7 +39,7 @@ class Bpe:
     """A vocabulary with merges.  Tokens are numbered by the order in which merging makes them: bytes, then merges by rank."""
 
     def __init__(self, path: str) -> None:
-        import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
@@ -67,7 +66,7 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in content.get("added_tokens", ())}
         self.by_id = {int(i): b for i, b in zip(self.ids, self.bytes_of)} | {i: name.encode() for name, i in self.special.items()}
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.pretoken = regex.compile(PRETOKEN)
+        self.pretokens = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.cache = PieceCache(self._encode_pieces)
 
     def propose(self, word: bytes) -> list[int]:
@@ -139,11 +138,11 @@ class Bpe:
         return proposed
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Pieces to ids; those with characters beyond the fast pattern are cut by the full one first."""
+        """Pieces to ids; those with characters beyond the fast pattern are cut first, as the file says: by its Unicode tables."""
         words: list[str] = []
         counts: list[int] = []
         for piece in pieces:
-            cut = [piece] if piece.isascii() else self.pretoken.findall(piece)
+            cut = [piece] if piece.isascii() or LETTERS.fullmatch(piece) else [piece[a:b] for _, (a, b) in self.pretokens(piece)]
             words += cut
             counts.append(len(cut))
         encoded = self.encode_words([w.encode() for w in words])
