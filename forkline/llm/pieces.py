@@ -2,7 +2,8 @@
 
 ``BYTE_PIECES`` cuts as the byte-level pattern does where a run of known characters (ASCII, Latin-1 letters) ends before
 an ASCII character, so that the piece is one pre-token for sure.  Anything else is cut at white space only, and is left
-to the encoder of the piece.  ``WORD_PIECES`` does the same for the lower-casing word tokenizer, which drops white space.
+to the encoder of the piece.  ``WORD_PIECES`` does the same for the lower-casing word tokenizer, which drops white space and
+composes characters before it cuts, so that a contraction may be none if a combining mark follows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ PLAIN = r"(?![^\x00-\x7f])"
 BYTE_PIECES = re.compile(
     rf"'(?:[stmd]|ll|ve|re)| ?[{LETTER}]++{PLAIN}| ?[0-9]++{PLAIN}| ?[{MARK}]++{PLAIN}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-WORD_PIECES = re.compile(rf"'(?:[stmdSTMD]|[lL][lL]|[vV][eE]|[rR][eE])|[{LETTER}]++{PLAIN}|[0-9]++{PLAIN}|[{MARK}]++{PLAIN}|[^{SPACE}]+")
+SHORT = r"'(?:[stmdSTMD]|[lL][lL]|[vV][eE]|[rR][eE])"
+WORD_PIECES = re.compile(rf"{SHORT}{PLAIN}|{SHORT}[^{SPACE}]*|[{LETTER}]++{PLAIN}|[0-9]++{PLAIN}|[{MARK}]++{PLAIN}|[^{SPACE}]+")
 
 #: Bytes of pieces that a worker remembers, and what Python needs for one beside its text and ids; rarer ones are encoded again with each batch.
 REMEMBERED, EACH = 64 << 20, 200
