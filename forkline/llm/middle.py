@@ -156,12 +156,18 @@ def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 5
     string as its decimal; rows are dealt with one by one, so that repeated ones give equal outputs.  An empty table gives an
     empty result; other columns are not read.
     """
+    short, long = outputs(docs, seed, rate, spm, chunk, doc_id, text)
+    return short.unionByName(long)
+
+
+def outputs(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 50, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of fill_in_middle for texts of one chunk, and those for longer ones."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     long = F.octet_length("text") > chunk
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def outputs() -> Iterator[tuple]:
+        def put_out() -> Iterator[tuple]:
             for row, doc, data in _numbered(batches, False):
                 to, begun = transition(data)
                 form, a, b = plan(_key(doc), begun[START], to[START] in (MET_START, MET), seed, rate, spm)
@@ -172,7 +178,7 @@ def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 5
                 parts = {PREFIX: data[:a].decode(), MIDDLE: data[a:b].decode(), SUFFIX: data[b:].decode()}
                 yield row, doc, begun[START], form, len(parts[PREFIX]), len(parts[MIDDLE]), None, "".join(MARKS[p] + parts[p] for p in ORDERS[form])
 
-        yield from _sent(WHOLE, outputs())
+        yield from _sent(WHOLE, put_out())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _sent(CHUNKS, ((row, doc, i, data, *map(list, transition(data))) for row, doc, whole in _numbered(batches, True) for i, data in enumerate(pieces_of(whole, chunk))))
@@ -190,7 +196,7 @@ def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 5
         return pa.Table.from_batches([_arrow(ENTRIES, [(row, i, state, before, n, form, a, b) for i, state, before in entry])])
 
     def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def outputs() -> Iterator[tuple]:
+        def stretches() -> Iterator[tuple]:
             for row, doc, i, data, state, before, n, form, a, b in _rows(batches):
                 if form == "plain":
                     yield row, doc, n, form, PREFIX, i + 1, 0, data.decode()
@@ -203,7 +209,7 @@ def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 5
                     if own:
                         yield row, doc, n, form, part, i + 1, code_points(own), own.decode()
 
-        yield from _sent(PARTS, outputs())
+        yield from _sent(PARTS, stretches())
 
     chunks = materialised(rows.where(long).mapInArrow(tidy(cut), CHUNKS))
     entries = chunks.select("row", "doc_id", "i", "to", "begun").groupBy("row").applyInArrow(entered, ENTRIES)
@@ -212,7 +218,8 @@ def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 5
     ranks = lambda form: F.element_at(F.array(*[F.lit(ORDERS[form].index(p)) for p in range(3)]), F.col("part") + 1)
     rank = F.when(F.col("form") == "spm", ranks("spm")).otherwise(ranks("psm"))
     at = F.shiftleft(rank.cast("long"), 40) + F.col("i")
-    return rows.where(F.coalesce(~long, F.lit(True))).mapInArrow(tidy(short), WHOLE).unionByName(parts.join(counted, "row", "left").select("row", "doc_id", "n", "form", "prefix_chars", "middle_chars", at.alias("at"), "output"))
+    ordered = parts.join(counted, "row", "left").select("row", "doc_id", "n", "form", "prefix_chars", "middle_chars", at.alias("at"), "output")
+    return rows.where(F.coalesce(~long, F.lit(True))).mapInArrow(tidy(short), WHOLE), ordered
 
 
 def _restored_text(output: Column, form: Column) -> Column:
@@ -223,12 +230,14 @@ def _restored_text(output: Column, form: Column) -> Column:
     return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(output)
 
 
-def restored(outputs: DataFrame) -> DataFrame:
-    """The texts again, from outputs and forms alone: columns row, doc_id, form, at, text; ``at`` as in fill_in_middle.
+def restored(found: DataFrame) -> DataFrame:
+    """The texts again, from outputs and forms alone: columns row, doc_id, form, at, text; ``at`` as in fill_in_middle."""
+    whole = found.where("at is null").select("row", "doc_id", "form", "at", _restored_text(F.col("output"), F.col("form")).alias("text"))
+    return whole.unionByName(_restored_rows(found.where("at is not null")))
 
-    In an output of several rows a mark is a row of its own, since a text that holds one is plain.
-    """
-    whole, rows = outputs.where("at is null"), outputs.where("at is not null")
+
+def _restored_rows(rows: DataFrame) -> DataFrame:
+    """In an output of several rows a mark is a row of its own, since a text that holds one is plain."""
     mark = lambda p: F.min(F.when(F.col("output") == MARKS[p], F.col("at"))).alias(f"from_{p}")
     begins = rows.where("form <> 'plain'").where(F.col("output").isin(*MARKS)).groupBy("row").agg(*[mark(p) for p in range(3)])
     after = lambda p: F.col("at") > F.col(f"from_{p}")
@@ -236,8 +245,7 @@ def restored(outputs: DataFrame) -> DataFrame:
     part = F.when(after(MIDDLE), MIDDLE).when(F.when(F.col("form") == "psm", after(SUFFIX)).otherwise(after(PREFIX)), second).otherwise(first)
     rank = F.when(F.col("form") == "plain", 0).when(part == PREFIX, 0).when(part == MIDDLE, 1).otherwise(2)
     parts = rows.join(begins, "row", "left").where((F.col("form") == "plain") | ~F.col("output").isin(*MARKS))
-    again = parts.select("row", "doc_id", "form", (F.shiftleft(rank.cast("long"), 44) + F.col("at")).alias("at"), F.col("output").alias("text"))
-    return whole.select("row", "doc_id", "form", "at", _restored_text(F.col("output"), F.col("form")).alias("text")).unionByName(again)
+    return parts.select("row", "doc_id", "form", (F.shiftleft(rank.cast("long"), 44) + F.col("at")).alias("at"), F.col("output").alias("text"))
 
 
 def digests(rows: DataFrame, column: str) -> DataFrame:
@@ -255,15 +263,14 @@ def digests(rows: DataFrame, column: str) -> DataFrame:
         if state is not None:
             yield _arrow("row long, sha256 string", [(row, state.hexdigest())])
 
-    ordered = rows.where("at is not null").select("row", "at", column).repartition("row").sortWithinPartitions("row", "at")
+    ordered = rows.select("row", "at", column).repartition("row").sortWithinPartitions("row", "at")
     return ordered.mapInArrow(tidy(run), "row long, sha256 string")
 
 
-def fill_in_middle_digests(outputs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n, form, prefix_chars, middle_chars, and the SHA-256 of its output and of the text restored from it."""
+def fill_in_middle_digests(short: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of what ``outputs`` gives, one row a document: doc_id, n, form, prefix_chars, middle_chars, and the SHA-256 of its output and of the text restored from it."""
     facts = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
-    whole = outputs.where("at is null").select(*facts, F.sha2("output", 256).alias("output_sha256"), F.sha2(_restored_text(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
-    rows = outputs.where("at is not null")
+    whole = short.select(*facts, F.sha2("output", 256).alias("output_sha256"), F.sha2(_restored_text(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
     once = rows.groupBy("row").agg(*[F.first(c).alias(c) for c in facts])
-    hashed = once.join(digests(rows, "output").withColumnRenamed("sha256", "output_sha256"), "row").join(digests(restored(rows), "text").withColumnRenamed("sha256", "restored_sha256"), "row")
+    hashed = once.join(digests(rows, "output").withColumnRenamed("sha256", "output_sha256"), "row").join(digests(_restored_rows(rows), "text").withColumnRenamed("sha256", "restored_sha256"), "row")
     return whole.unionByName(hashed.select(*facts, "output_sha256", "restored_sha256"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forkline.llm import middle
-from forkline.llm.middle import fill_in_middle, fill_in_middle_digests, restored
+from forkline.llm.middle import fill_in_middle, fill_in_middle_digests, outputs, restored
 from forkline.llm.mixing import mixed
 from forkline.llm.prefix_trie import prefix_trie
 from tests.llm import brute
@@ -110,8 +110,8 @@ def test_fill_in_middle(spark, rows, chunk):
         again[x.row].append(x)
     assert Counter((parts[0].doc_id, "".join(p.text for p in sorted(parts, key=lambda p: p.at or 0))) for parts in again.values()) == Counter((d, t or "") for d, t in given)
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    assert Counter(map(tuple, fill_in_middle_digests(out).collect())) == Counter((*w[:5], sha(w[5]), sha(t or "")) for g in given for w, t in [(brute.filled(*g), g[1])])
-    assert fill_in_middle_digests(fill_in_middle(docs.limit(0))).count() == 0
+    assert Counter(map(tuple, fill_in_middle_digests(*outputs(docs, chunk=chunk)).collect())) == Counter((*w[:5], sha(w[5]), sha(t or "")) for g in given for w, t in [(brute.filled(*g), g[1])])
+    assert fill_in_middle_digests(*outputs(docs.limit(0))).count() == 0
 
 
 def test_fill_in_middle_at_other_rates(spark):
