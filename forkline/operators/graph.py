@@ -79,22 +79,90 @@ def hidden_paths(edges: DataFrame, visible: DataFrame, interior: int = 8) -> Dat
     return best.join(step, ["src", "dst"], "left_anti")
 
 
-def longest_depth(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Longest path (edges) that ends in each node of an acyclic graph: node, depth."""
+def longest_depth(edges: DataFrame) -> DataFrame:
+    """Longest path (edges) that ends in each node: node, depth.  Nodes on cycles, or behind them, all have the greatest depth that
+    any node, they too, has by paths without such nodes before the last.
+
+    Nodes are peeled off: those that nothing left leads to are final, and each edge is used once, when its source is.
+    """
+    step = materialised(edges.where("src <> dst").select("src", "dst").distinct())
+    ways = step.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("left"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    left = materialised(nodes.join(ways, "node", "left").select("node", F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).alias("met")))
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    ready, depth = materialised(left.where("left = 0").join(loops, "node", "left_anti").select("node")), 0
+    out = ready.withColumn("depth", F.lit(0))
+    while not ready.isEmpty():
+        used = ready.select(F.col("node").alias("src")).join(step, "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("used"))
+        depth += 1
+        met = F.when(F.col("used").isNull(), F.col("met")).otherwise(depth).alias("met")
+        left = materialised(left.where("left > 0").join(used, "node", "left").select("node", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), met))
+        ready = materialised(left.where((F.col("left") == 0) & (F.col("met") == depth)).join(loops, "node", "left_anti").select("node"))
+        out = out.union(ready.withColumn("depth", F.lit(depth)))
+    rest = nodes.join(out, "node", "left_anti")
+    most = max(depth - 1, rest.join(left, "node").agg(F.max("met")).first()[0] or 0)
+    return out.unionByName(rest.withColumn("depth", F.lit(most)))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """Least node of the strongly connected component of each node that has others in its own: node, component.
+
+    Colours, the greatest node that leads to a node, are spread along edges and jump to the colour of their colour; what leads
+    back to the node that gave a colour, among nodes of that colour, is a component.  Edges that cannot lie on a cycle (from
+    nodes that nothing leads to, to nodes that lead nowhere, between colours) go, and the rest is coloured again until none is left.
+    """
+    step = materialised(edges.where("src <> dst").select("src", "dst").distinct())
+    found: list[DataFrame] = []
+    count = step.count()
+    while count:
+        last = count + 1
+        while count < last:
+            kept = step.join(step.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(step.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            step, last = materialised(kept), count
+            count = step.count()
+        if not count:
+            break
+        colour, moved = materialised(step.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node"))), True
+        while moved:
+            spread = step.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("given"))
+            met = colour.join(spread, "node", "left").select("node", F.col("colour").alias("old"), F.greatest("colour", F.coalesce("given", "colour")).alias("colour"))
+            jump = colour.select(F.col("node").alias("colour"), F.col("colour").alias("further"))
+            now = materialised(met.join(jump, "colour", "left").select("node", "old", F.greatest("colour", F.coalesce("further", "colour")).alias("colour")))
+            moved, colour = not now.where("old <> colour").isEmpty(), now.select("node", "colour")
+        tint = lambda c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
+        inner = materialised(step.join(tint("src"), "src").join(tint("dst"), "dst").where("src_colour = dst_colour").select("src", "dst"))
+        members = frontier = materialised(colour.where("node = colour"))
+        while not frontier.isEmpty():
+            back = frontier.select(F.col("node").alias("dst"), "colour").join(inner, "dst").select(F.col("src").alias("node"), "colour").distinct()
+            frontier = materialised(back.join(members, "node", "left_anti"))
+            members = members.union(frontier)
+        members = materialised(members)
+        least = members.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+        found.append(materialised(members.join(least, "colour").select("node", "component")))
+        rest = inner.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti")
+        step = materialised(rest)
+        count = step.count()
+    out = edges.sparkSession.createDataFrame([], edges.select(F.col("src").alias("node"), F.col("src").alias("component")).schema)
+    for more in found:
+        out = out.unionByName(more)
+    return out
+
+
+def reach_sizes(edges: DataFrame) -> DataFrame:
+    """How many nodes each node reaches over one edge or more: node, reach; nodes that lead nowhere are left out.
+
+    Components are closed over, not nodes: one counts with its size, and all its nodes reach the same.
+    """
     step = materialised(edges.select("src", "dst").distinct())
+    strong = materialised(strong_components(step))
     nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
-    levels = [materialised(nodes)]
-    for _ in range(rounds):  # nodes that some path of so many edges ends in
-        ahead = materialised(levels[-1].join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct())
-        if ahead.isEmpty():
-            break
-        levels.append(ahead)
-    else:
-        raise ValueError("the graph has a cycle")
-    out = levels[0].withColumn("depth", F.lit(0))
-    for depth, level in enumerate(levels[1:], 1):
-        out = out.union(level.withColumn("depth", F.lit(depth)))
-    return out.groupBy("node").agg(F.max("depth").alias("depth"))
+    member = materialised(nodes.join(strong, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    size = member.groupBy("component").agg(F.count("*").alias("size"))
+    end = lambda c: member.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    between = materialised(step.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_component").alias("src"), F.col("dst_component").alias("dst")).distinct())
+    closed = transitive_closure(between.where("src <> dst")).union(between.where("src = dst"))
+    reach = closed.join(size, closed["dst"] == size["component"]).groupBy(F.col("src").alias("component")).agg(F.sum("size").alias("reach"))
+    return member.join(reach, "component").select("node", "reach")
 
 
 def mutual_reach(closure: DataFrame) -> DataFrame:
@@ -158,13 +226,23 @@ def edge_contract(edges: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def bridged(edges: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Edges without the dropped nodes (node), each pair of an edge into and one out of a dropped node made one edge."""
-    gone = dropped.select("node")
-    into = edges.join(gone, F.col("dst") == F.col("node"), "left_semi")
-    out = edges.join(gone, F.col("src") == F.col("node"), "left_semi")
-    rest = edges.join(gone, F.col("dst") == F.col("node"), "left_anti").join(gone, F.col("src") == F.col("node"), "left_anti")
-    over = into.select("src", F.col("dst").alias("via")).join(out.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
-    return rest.select("src", "dst").union(over).where("src <> dst").distinct()
+    """Edges without the dropped nodes (node): two others are joined where a path over dropped nodes alone, in cycles or not, joins them.
+
+    That is what dropping one node after the other gives, in any order.  No self loops.
+    """
+    gone = materialised(dropped.select("node").distinct())
+    lost = lambda c, mark: gone.select(F.col("node").alias(c), F.lit(True).alias(mark))
+    marked = edges.select("src", "dst").distinct().join(lost("src", "from_gone"), "src", "left").join(lost("dst", "to_gone"), "dst", "left")
+    marked = materialised(marked.select("src", "dst", F.col("from_gone").isNotNull().alias("from_gone"), F.col("to_gone").isNotNull().alias("to_gone")))
+    ahead = marked.where("from_gone").select(F.col("src").alias("via"), F.col("dst").alias("next"), "to_gone")
+    inner = ahead.where("to_gone").drop("to_gone")
+    met = frontier = marked.where("not from_gone and to_gone").select("src", F.col("dst").alias("via"))
+    while not frontier.isEmpty():
+        further = frontier.join(inner, "via").select("src", F.col("next").alias("via")).distinct()
+        frontier = materialised(further.join(met, ["src", "via"], "left_anti"))
+        met = met.union(frontier)
+    over = met.join(ahead.where("not to_gone"), "via").select("src", F.col("next").alias("dst"))
+    return marked.where("not from_gone and not to_gone").select("src", "dst").union(over).where("src <> dst").distinct()
 
 
 def unary_chains(edges: DataFrame, least: int = 3, rounds: int = 40, barred: DataFrame | None = None) -> DataFrame:

@@ -49,9 +49,9 @@ def test_components_of_a_chain_and_a_cycle(spark):
     assert found == {k: 1 for k in range(1, 31)} | {50: 50, 51: 50, 52: 50}
 
 
-def test_longest_depth_refuses_cycles(spark):
-    with pytest.raises(ValueError):
-        graph.longest_depth(edges_of(spark, [(1, 2), (2, 1)]), rounds=5)
+def test_longest_depth_of_long_paths_and_cycles(spark):
+    found = {r.node: r.depth for r in graph.longest_depth(edges_of(spark, [(k, k + 1) for k in range(25)] + [(30, 31), (31, 30), (25, 30)])).collect()}
+    assert found == {k: k for k in range(26)} | {30: 26, 31: 26}
 
 
 def test_empty_graphs(spark):
