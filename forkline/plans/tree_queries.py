@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forkline.operators import containment as C
-from forkline.session import tables
+from forkline.operators import repointing as R
+from forkline.operators.graph import bfs_levels
+from forkline.session import materialised, tables
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +82,29 @@ def trivial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.trivial_groups(entries, _callers(parts), parts.where("p_size = 1"))
 
 
+def _lies(parts: DataFrame) -> DataFrame:
+    """Each part in the parts of a quarter and a third of its number."""
+    return _callers(parts).select(F.col("dst").alias("node"), F.col("src").alias("container"))
+
+
+def container_repoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of size 7 go, and the part of 16 times their number and one takes over, where it is one that stays."""
+    parts = materialised(_parts(spark, sf_dir))
+    keeps = parts.where("p_size <> 7").select(F.col("node").alias("keep"))
+    moves = parts.where("p_size = 7").select(F.col("node").alias("other"), (16 * F.col("node") + 1).alias("keep")).join(keeps, "keep", "left_semi")
+    gone = parts.where("p_size = 7").select(F.col("node").alias("other")).join(moves, "other", "left")
+    return R.repointed(_lies(parts), gone)
+
+
+def prune_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that part 1 reaches over double, double and one, and triple numbers, none of a size that 4 divides but the first three; others go."""
+    parts = materialised(_parts(spark, sf_dir))
+    known = parts.where("p_size % 4 <> 0 or node < 4").select("node")
+    ways = parts.select(F.col("node").alias("src"), F.explode(F.array(2 * F.col("node"), 2 * F.col("node") + 1, 3 * F.col("node"))).alias("dst"))
+    edges = materialised(ways.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    return R.pruned(_lies(parts), bfs_levels(edges, parts.where("node = 1")).select("node"))
+
+
 _TREE = """p AS (SELECT p_partkey AS node, nullif(p_partkey // 4, 0) AS container, p_brand, p_size FROM part),
 e AS (SELECT DISTINCT src, dst FROM (SELECT node // 4 AS src, node AS dst FROM p UNION ALL SELECT node // 3, node FROM p) WHERE src > 0)"""
 _CLOSE = f"""{_TREE},
@@ -108,6 +133,24 @@ SELECT s_suppkey, promoted FROM n WHERE promoted OR k <= greatest(0, 40 - (SELEC
     "arm_reach": """WITH o AS (SELECT l_orderkey, min(l_suppkey) AS owner FROM lineitem GROUP BY 1)
 SELECT l.l_orderkey AS site, l_returnflag AS idx, count(DISTINCT CASE WHEN l_suppkey <> owner AND s_nationkey >= 3 THEN l_suppkey END) AS n
 FROM lineitem l JOIN o ON o.l_orderkey = l.l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2""",
+    "container_repoint": f"""WITH RECURSIVE {_TREE},
+g AS (SELECT node AS other, CASE WHEN 16 * node + 1 IN (SELECT node FROM p WHERE p_size <> 7) THEN 16 * node + 1 END AS keep FROM p WHERE p_size = 7),
+s AS (SELECT dst AS node, src AS container FROM e WHERE dst NOT IN (SELECT other FROM g) AND src NOT IN (SELECT other FROM g)),
+u(node, above) AS (SELECT node, container FROM s UNION SELECT u.node, s.container FROM u JOIN s ON s.node = u.above)
+SELECT node, container FROM s
+UNION SELECT e.dst, g.keep FROM e JOIN g ON g.other = e.src WHERE g.keep IS NOT NULL AND g.keep <> e.dst AND e.dst NOT IN (SELECT other FROM g)
+  AND NOT EXISTS (SELECT 1 FROM u WHERE u.node = g.keep AND u.above = e.dst)""",
+    "prune_unreachable": f"""WITH RECURSIVE {_TREE},
+k AS (SELECT node FROM p WHERE p_size % 4 <> 0 OR node < 4),
+w AS (SELECT node AS src, unnest([2 * node, 2 * node + 1, 3 * node]) AS dst FROM k),
+v(node) AS (SELECT 1::BIGINT UNION SELECT w.dst FROM v JOIN w ON w.src = v.node WHERE w.dst IN (SELECT node FROM k)),
+z(node, spot, distance) AS (
+  SELECT node, node, 0 FROM p WHERE node NOT IN (SELECT node FROM v)
+  UNION SELECT z.node, e.src, z.distance + 1 FROM z JOIN e ON e.dst = z.spot WHERE z.spot NOT IN (SELECT node FROM v)),
+h AS (SELECT node, spot, distance FROM z WHERE spot IN (SELECT node FROM v)),
+n AS (SELECT node, min(spot) AS nearest FROM h WHERE distance = (SELECT min(g.distance) FROM h g WHERE g.node = h.node) GROUP BY node)
+SELECT dst AS node, src AS container FROM e WHERE dst IN (SELECT node FROM v) AND src IN (SELECT node FROM v)
+UNION SELECT e.dst, n.nearest FROM e JOIN n ON n.node = e.src WHERE e.dst IN (SELECT node FROM v)""",
     "trivial_groups": f"""WITH RECURSIVE {_CLOSE},
 t AS (SELECT node FROM p WHERE p_size = 1 UNION SELECT src FROM r JOIN p ON p.node = dst AND p_size = 1),
 m AS (SELECT p_brand, count(*) AS n, sum(p_size)::BIGINT AS routes FROM p WHERE node NOT IN (SELECT node FROM t) GROUP BY 1 HAVING count(*) > 1)
