@@ -103,8 +103,8 @@ def trivial_groups(entries: DataFrame, edges: DataFrame, telling: DataFrame) ->
 
     Others keep their own names.
     """
-    reach = transitive_closure(edges).select(F.col("src").alias("node"), "dst").union(entries.select("node", F.col("node").alias("dst")))
-    told = reach.join(telling.select(F.col("node").alias("dst")), "dst", "left_semi").select("node").distinct()
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    told = materialised(bfs_levels(back, telling.select("node")).select("node"))  # who leads to something telling
     alone = entries.join(told, "node", "left_anti")
     many = alone.groupBy("root").agg(F.count("*").alias("n"), F.sum("routes").alias("routes")).where("n > 1")
     folded = many.select(F.concat(F.lit("entry:trivial:"), "root").alias("entry"), "routes")

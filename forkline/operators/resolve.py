@@ -27,7 +27,7 @@ class Index:
 def _scoped(rows: DataFrame, names: DataFrame, known: DataFrame, written: str, out: str) -> DataFrame:
     """Column ``out``: the class that the dotted name ``written`` stands for in ``module``; null if none."""
     parts = F.split(written, r"\.")
-    keyed = rows.withColumn("_root", F.element_at(parts, 1)).withColumn("_rest", F.concat(F.lit("."), F.array_join(F.slice(parts, 2, 99), ".")))
+    keyed = rows.withColumn("_root", F.element_at(parts, 1)).withColumn("_rest", F.regexp_replace(written, r"^[^.]*\.?", "."))
     met = keyed.join(names.select("repo", "module", F.col("local").alias("_root"), F.col("fqn").alias("_fqn")), ["repo", "module", "_root"], "left")
     full = F.when(F.col("_rest") == ".", F.col("_fqn")).otherwise(F.concat("_fqn", "_rest"))
     met = met.withColumn("_full", full)

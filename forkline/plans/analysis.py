@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,7 +148,7 @@ class Analysis:
         roots = handlers.select(F.concat_ws("|", "repo", "handler").alias("root")).distinct()
         known = frontier = materialised(roots.select("root", F.col("root").alias("fn"), F.lit(0).alias("distance")))
         step = self.call_graph.select(F.col("src").alias("fn"), "dst")
-        for distance in range(1, 1000):
+        for distance in count(1):  # each round but the last adds functions
             ahead = frontier.join(step, "fn").select("root", F.col("dst").alias("fn")).distinct()
             frontier = materialised(ahead.join(known, ["root", "fn"], "left_anti").withColumn("distance", F.lit(distance)))
             if frontier.isEmpty():

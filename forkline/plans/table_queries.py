@@ -136,7 +136,7 @@ def route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of pages against templates: digits folded, any language, and a catch-all of one segment."""
     paths = tables(spark, sf_dir, "pages").select(F.col("page_id").alias("call_id"), F.lit("GET").alias("method"), T.split_segments(F.regexp_extract("url", PATH, 1)).alias("segments"))
     folded = paths.select(F.transform("segments", lambda s: F.regexp_replace(s, r"^\d+(\.html)?$", "{id}")).alias("segments")).where("exists(segments, s -> s = '{id}')").distinct()
-    some = folded.where("size(segments) = 2").select(F.transform("segments", lambda s, i: F.when(i == 0, F.lit("{lang}")).otherwise(s)).alias("segments")).distinct().where("1 = 1")
+    some = folded.where("size(segments) = 2").select(F.transform("segments", lambda s, i: F.when(i == 0, F.lit("{lang}")).otherwise(s)).alias("segments")).distinct()
     routes = folded.where("segments[0] in ('en', 'fr', 'de')").union(some).select(F.concat(F.lit("/"), F.array_join("segments", "/")).alias("route"), F.lit("GET").alias("method"), "segments").distinct()
     return J.route_match(paths, routes)
 

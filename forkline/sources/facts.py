@@ -49,6 +49,17 @@ URL_CALLS = ("path", "re_path", "url")
 Def = ast.FunctionDef | ast.AsyncFunctionDef
 
 
+#: Fixed value: what stands for an expression that is nested too deeply to be written out.
+UNPARSEABLE = "<unparseable>"
+
+
+def source_of(node: ast.AST) -> str:
+    try:
+        return ast.unparse(node)
+    except RecursionError:
+        return UNPARSEABLE
+
+
 def dotted(node: ast.expr | None) -> list[str] | None:
     """Root name and attributes of a plain dotted expression."""
     parts: list[str] = []
@@ -74,7 +85,7 @@ def type_text(node: ast.expr | None) -> str | None:
 def string(node: ast.expr) -> str | None:
     """Text of a string or f-string, its expressions in braces; None for anything else."""
     if isinstance(node, ast.JoinedStr):
-        return "".join(v.value if isinstance(v, ast.Constant) else f"{{{ast.unparse(v.value)}}}" for v in node.values)
+        return "".join(v.value if isinstance(v, ast.Constant) else f"{{{source_of(v.value)}}}" for v in node.values)
     return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
 
 
@@ -242,11 +253,11 @@ class FileFacts:
         if isinstance(node, (*Def.__args__, ast.ClassDef)):
             self.block(node.body, owner, frames, loop)
         elif isinstance(node, ast.If):
-            arms, at = [(ast.unparse(node.test), node.body)], node
+            arms, at = [(source_of(node.test), node.body)], node
             while len(at.orelse) == 1 and isinstance(at.orelse[0], ast.If):
                 at = at.orelse[0]
                 self.flattened.add(at)
-                arms.append((ast.unparse(at.test), at.body))
+                arms.append((source_of(at.test), at.body))
             arms.append(("else", at.orelse))
             if node not in self.flattened:
                 self.fork(node, owner, "branch", arms[0][0], arms, follows)
@@ -254,13 +265,13 @@ class FileFacts:
             self.block(node.body, owner, into("if", 0), loop)
             self.block(node.orelse, owner, into("if", 1), loop)
         elif isinstance(node, ast.Match):
-            arms = [(ast.unparse(c.pattern) + (f" if {ast.unparse(c.guard)}" if c.guard else ""), c.body) for c in node.cases]
-            self.fork(node, owner, "match", ast.unparse(node.subject), arms, follows)
+            arms = [(source_of(c.pattern) + (f" if {source_of(c.guard)}" if c.guard else ""), c.body) for c in node.cases]
+            self.fork(node, owner, "match", source_of(node.subject), arms, follows)
             self.calls(node.subject, owner, frames, loop)
             for k, c in enumerate(node.cases):
                 self.block(c.body, owner, into("match", k), loop)
         elif isinstance(node, (ast.Try, ast.TryStar)):
-            arms = [("try", node.body), *((ast.unparse(h.type) if h.type else "except", h.body) for h in node.handlers)]
+            arms = [("try", node.body), *((source_of(h.type) if h.type else "except", h.body) for h in node.handlers)]
             if any(isinstance(x, ast.Call) for h in node.handlers for s in h.body for x in ast.walk(s)):
                 self.fork(node, owner, "except", "try", arms, follows)
             self.block(node.body, owner, into("try", 0), loop)
@@ -313,10 +324,10 @@ class FileFacts:
             elif inner and len(inner) == 2 and inner[1] == "get" and func.args:
                 table, key = inner[0], func.args[0]
         if table:
-            self.add("lookup", node.col_offset, owner, table, ast.unparse(key), node.lineno, node.end_lineno)
+            self.add("lookup", node.col_offset, owner, table, source_of(key), node.lineno, node.end_lineno)
         if name is not None and not isinstance(name, ast.Constant):
             where = [str(node.lineno), str(node.col_offset)]
-            self.add("fork", node.col_offset, owner, "dynamic", ast.unparse(name)[:120], node.lineno, node.end_lineno, flag=True)
+            self.add("fork", node.col_offset, owner, "dynamic", source_of(name)[:120], node.lineno, node.end_lineno, flag=True)
             start = name.values[0] if isinstance(name, ast.JoinedStr) and name.values else None
             if isinstance(start, ast.Constant):
                 self.add("arm", 0, owner, f"{start.value}*", "falls_through", node.lineno, node.end_lineno, [*where, "0", "-1"])
@@ -325,8 +336,8 @@ class FileFacts:
         """A conditional expression with a call in it is a fork; its arms have the calls of their lines."""
         if any(isinstance(x, ast.Call) for x in ast.walk(node)):
             reads = list(dict.fromkeys(".".join(p) for x in ast.walk(node.test) if (p := dotted(x))))
-            self.add("fork", node.col_offset, owner, "branch", ast.unparse(node.test)[:120], node.lineno, node.end_lineno, reads, flag=True)
-            for k, (label, side) in enumerate(((ast.unparse(node.test), node.body), ("else", node.orelse))):
+            self.add("fork", node.col_offset, owner, "branch", source_of(node.test)[:120], node.lineno, node.end_lineno, reads, flag=True)
+            for k, (label, side) in enumerate(((source_of(node.test), node.body), ("else", node.orelse))):
                 self.add("arm", k, owner, label[:120], "falls_through", node.lineno, node.end_lineno, [str(node.lineno), str(node.col_offset), str(side.lineno), str(side.end_lineno)])
 
     def calls(self, node: ast.AST, owner: str, frames: tuple, loop: bool) -> None:
@@ -335,12 +346,12 @@ class FileFacts:
             if isinstance(n, ast.IfExp):
                 self.ternary(n, owner)
         for n in sorted(found, key=lambda c: (c.lineno, c.col_offset, -(c.end_col_offset or 0))):
-            parts = dotted(n.func)
+            parts, text, given = dotted(n.func), source_of(n)[:120], arguments(n)
             self.chosen(n, owner)
             for a in [*n.args, *(k.value for k in n.keywords)]:
                 if to := dotted(a):
-                    self.add("argref", n.col_offset, owner, to[0], ast.unparse(n)[:120], n.lineno, n.end_lineno, to[1:], frames, loop, arguments(n))
-            self.add("call", n.col_offset, owner, parts[0] if parts else "", ast.unparse(n)[:120], n.lineno, n.end_lineno, parts[1:] if parts else [], frames, loop, arguments(n))
+                    self.add("argref", n.col_offset, owner, to[0], text, n.lineno, n.end_lineno, to[1:], frames, loop, given)
+            self.add("call", n.col_offset, owner, parts[0] if parts else "", text, n.lineno, n.end_lineno, parts[1:] if parts else [], frames, loop, given)
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

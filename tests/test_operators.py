@@ -207,3 +207,11 @@ def test_rectangles_across_cells(spark):
     df = spark.createDataFrame(boxes, "id long, x0 double, y0 double, x1 double, y1 double")
     wanted = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4]}
     assert {tuple(p) for p in relations.rect_overlap(df, 5.0).collect()} == wanted
+
+
+def test_a_long_chain_of_calls_costs_no_other_function():
+    from forkline.sources.facts import UNPARSEABLE, FileFacts
+
+    rows = FileFacts("r", "a.py", "def f(x):\n    return x" + ".a()" * 400 + "\n\n\ndef g():\n    return f(1)\n").rows
+    assert not [r for r in rows if "unparsed" in r]
+    assert sum(r.count(UNPARSEABLE) for r in rows) > 0 and [r for r in rows if "call" in r and "f(1)" in r]
