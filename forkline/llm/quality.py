@@ -1,6 +1,6 @@
 """Quality classifier: a regularised quadratic discriminant over transformed statistics of whole texts.
 
-Each class is a normal distribution; its covariance is shrunk towards a multiple of the identity.  A score is the
+Each class is a normal distribution; its covariance is shrunk towards the variances of all classes together.  A score is the
 logistic of the log prior ratio plus the difference of the log densities, whose Mahalanobis distances come from
 the Cholesky factors of the covariances, computed once.  Statistics and sums are computed by tasks; the driver
 sees one row of sums a class.
