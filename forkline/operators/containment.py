@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from forkline.operators.graph import bfs_levels, transitive_closure
+from forkline.operators.graph import bfs_levels, reach_sizes
 from forkline.session import materialised
 
 
@@ -44,7 +44,7 @@ def descendants(contained: DataFrame, asked: DataFrame, rounds: int = 1000) -> D
 
 def subtree_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct nodes reached from each node (node), itself left out: node, size."""
-    count = transitive_closure(edges).where("src <> dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("size"))
+    count = reach_sizes(edges, itself=False).withColumnRenamed("reach", "size")
     return nodes.select("node").distinct().join(count, "node", "left").select("node", F.coalesce("size", F.lit(0)).alias("size"))
 
 

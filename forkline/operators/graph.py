@@ -148,8 +148,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def reach_sizes(edges: DataFrame) -> DataFrame:
-    """How many nodes each node reaches over one edge or more: node, reach; nodes that lead nowhere are left out.
+def reach_sizes(edges: DataFrame, itself: bool = True) -> DataFrame:
+    """How many nodes each node reaches over one edge or more: node, reach; nodes that lead nowhere are left out.  A node on a cycle
+    reaches itself, which is counted if ``itself``.
 
     Components are closed over, not nodes: one counts with its size, and all its nodes reach the same.
     """
@@ -161,7 +162,7 @@ def reach_sizes(edges: DataFrame) -> DataFrame:
     end = lambda c: member.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
     between = materialised(step.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_component").alias("src"), F.col("dst_component").alias("dst")).distinct())
     closed = transitive_closure(between.where("src <> dst")).union(between.where("src = dst"))
-    reach = closed.join(size, closed["dst"] == size["component"]).groupBy(F.col("src").alias("component")).agg(F.sum("size").alias("reach"))
+    reach = closed.join(size, closed["dst"] == size["component"]).groupBy(F.col("src").alias("component")).agg((F.sum("size") - (0 if itself else F.max((F.col("src") == F.col("dst")).cast("long")))).alias("reach"))
     return member.join(reach, "component").select("node", "reach")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from forkline.operators.graph import bfs_levels, reach_counts, transitive_closure
+from forkline.operators.graph import bfs_levels, reach_sizes
 
 
 def spine(edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def spine(edges: DataFrame, entries: DataFrame) -> DataFrame:
 
     Edges are (src, dst, arm); of equal successors the least (arm, dst) is taken; walks end where they meet their own path.
     """
-    reach = reach_counts(transitive_closure(edges)).select(F.col("node").alias("dst"), "reach")
+    reach = reach_sizes(edges).select(F.col("node").alias("dst"), "reach")
     ranked = edges.select("src", "dst", "arm").join(reach, "dst", "left").select("src", F.struct((-F.coalesce("reach", F.lit(0))).alias("less"), "arm", "dst").alias("way"))
     taken = ranked.groupBy("src").agg(F.min("way").alias("way")).select("src", "way.dst", "way.arm")
     return taken.join(bfs_levels(taken, entries).select(F.col("node").alias("src")), "src", "left_semi")

@@ -156,6 +156,7 @@ def test_strong_components_depths_and_bridges(spark, seed):
     same = {x: {y for y in far.get(x, ()) if x in far.get(y, ())} | {x} for x in nodes}
     assert {x.node: x.component for x in graph.strong_components(df).collect()} == {x: min(ys) for x, ys in same.items() if len(ys) > 1}
     assert {x.node: x.reach for x in graph.reach_sizes(df).collect()} == {x: len(ys) for x, ys in far.items() if ys}
+    assert {x.node: x.reach for x in graph.reach_sizes(df, itself=False).collect()} == {x: len(ys - {x}) for x, ys in far.items() if ys}
     depth, count = dict.fromkeys(nodes, 0), {x: len({a for a, b in edges if b == x}) for x in nodes}
     queue, done = [x for x in nodes if not count[x]], set()
     for x in queue:
