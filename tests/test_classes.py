@@ -28,3 +28,14 @@ def test_equal_boxes_meet_as_one(spark, monkeypatch):
     monkeypatch.setattr(relations, "class_pairs", lambda members, pairs, f=relations.class_pairs: (met.append(pairs.count()), f(members, pairs))[1])
     assert sorted(tuple(p) for p in relations.rect_overlap(df, 5.0).collect()) == wanted
     assert len(met) == 2 and sum(met) < len(wanted)  # classes met, not boxes
+
+
+def test_equal_sets_are_tried_once(spark, monkeypatch):
+    rng = random.Random(5)
+    sets = {k: {rng.choice("abcd") for _ in range(rng.randrange(1, 4))} | ({None} if k % 9 == 0 else set()) for k in range(150)}
+    df = spark.createDataFrame([(k, m) for k, s in sets.items() for m in s] + [(None, "a")], "owner long, item string")
+    wanted = sorted((a, b) for a in sets for b in sets if a != b and None not in sets[a] and sets[a] <= sets[b])
+    met = []
+    monkeypatch.setattr(relations, "class_pairs", lambda members, pairs, f=relations.class_pairs: (met.append(pairs.count()), f(members, pairs))[1])
+    assert sorted(tuple(p) for p in relations.subset_join(df, "owner", "item").collect()) == wanted
+    assert met[0] <= 30 * 30 < len(wanted)
