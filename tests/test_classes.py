@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from forkline.operators import relations
+from forkline.operators import graph, relations
+from forkline.session import bucketed
 
 
 def test_class_pairs_over_packs(spark, monkeypatch):
@@ -39,3 +40,10 @@ def test_equal_sets_are_tried_once(spark, monkeypatch):
     monkeypatch.setattr(relations, "class_pairs", lambda members, pairs, f=relations.class_pairs: (met.append(pairs.count()), f(members, pairs))[1])
     assert sorted(tuple(p) for p in relations.subset_join(df, "owner", "item").collect()) == wanted
     assert met[0] <= 30 * 30 < len(wanted)
+
+
+def test_bucketed_rows_stay_where_they_are(spark):
+    rows = bucketed(spark.range(100).selectExpr("id % 7 AS k", "id"), "k")
+    grouped = rows.groupBy("k").count()
+    assert sorted(tuple(r) for r in grouped.collect()) == [(k, 15 if k < 2 else 14) for k in range(7)]
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
