@@ -42,6 +42,15 @@ def test_equal_sets_are_tried_once(spark, monkeypatch):
     assert met[0] <= 30 * 30 < len(wanted)
 
 
+def test_mutual_reach_needs_no_closure(spark, monkeypatch):
+    from forkline.plans import graph_queries
+
+    monkeypatch.setattr(graph, "transitive_closure", None)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6)], "src long, dst long")
+    monkeypatch.setattr(graph_queries, "successions", lambda *_: edges)
+    assert sorted(tuple(p) for p in graph_queries.scc_mutual_reach(spark, "").collect()) == [(1, 2), (1, 3), (2, 3), (4, 5)]
+
+
 def test_bucketed_rows_stay_where_they_are(spark):
     rows = bucketed(spark.range(100).selectExpr("id % 7 AS k", "id"), "k")
     grouped = rows.groupBy("k").count()
