@@ -56,3 +56,16 @@ def test_bucketed_rows_stay_where_they_are(spark):
     grouped = rows.groupBy("k").count()
     assert sorted(tuple(r) for r in grouped.collect()) == [(k, 15 if k < 2 else 14) for k in range(7)]
     assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hidden_paths_stop_where_all_is_met(spark, monkeypatch):
+    """1 and 2 are all that is shown of theirs and meet over 11 at once; a long hidden tail behind is not walked."""
+    tail = [(11, 12)] + [(k, k + 1) for k in range(12, 19)]
+    both = [(1, 11), (11, 2), (2, 11), (11, 1), *tail]
+    other = [(3, 31), (31, 32), (32, 4), (3, 33), (33, 34), (34, 4)]  # 3 meets 4 after two hidden nodes, the lesser text; 4 never meets 3
+    written = []
+    monkeypatch.setattr(graph, "materialised", lambda df, f=graph.materialised: (written.append(df.columns), f(df))[1])
+    edges = spark.createDataFrame(both + other, "src long, dst long")
+    found = graph.hidden_paths(edges, spark.createDataFrame([(1,), (2,), (3,), (4,)], "node long"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 1, "11"), (2, 1, 1, "11"), (3, 4, 2, "31,32")]
+    assert sum(c == ["src", "at", "path"] for c in written) <= 3  # the first, the second and an empty one
