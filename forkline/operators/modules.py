@@ -71,13 +71,18 @@ def key_methods(handlers: DataFrame, functions: DataFrame, calls: DataFrame, mos
     """What tells an endpoint: the handler's class, or itself, first, then methods of that class and what they call, by name: handler, fqn, rank.
 
     handlers (handler), functions (fqn, cls: null outside of classes), calls (caller, callee).  Only functions of the project count.
+
+    What handlers of one class share is found and cut to ``most`` once for the class, so that no handler meets all methods.
     """
     own = handlers.select("handler").distinct().join(functions.select(F.col("fqn").alias("handler"), "cls"), "handler").select("handler", "cls", F.coalesce("cls", "handler").alias("fqn"))
-    methods = own.where("cls is not null").select("handler", "cls").join(functions.select("cls", "fqn"), "cls").select("handler", "fqn")
-    callers = methods.union(own.where("cls is null").select("handler", "fqn"))
+    own = materialised(own)
     known = functions.select("fqn").union(functions.where("cls is not null").select("cls")).distinct()
-    called = callers.join(calls.select(F.col("caller").alias("fqn"), "callee"), "fqn").select("handler", F.col("callee").alias("fqn")).join(known, "fqn", "left_semi").select("handler", "fqn")
+    calls = calls.select("caller", "callee").join(known.withColumnRenamed("fqn", "callee"), "callee", "left_semi")
+    methods = functions.join(own.select("cls").distinct(), "cls", "left_semi").select("cls", "fqn")
+    called = methods.join(calls, F.col("fqn") == F.col("caller")).select("cls", F.col("callee").alias("fqn"))
+    listed = top_k(methods.union(called).where("fqn <> cls").distinct(), ["cls"], [F.col("fqn")], most).select("cls", "fqn")
+    free = own.where("cls is null").select("handler").join(calls, F.col("handler") == F.col("caller")).where("callee <> handler").select("handler", F.col("callee").alias("fqn")).distinct()
+    rest = own.select("handler", "cls").join(listed, "cls").select("handler", "fqn").union(free).distinct()
     first = own.select("handler", "fqn")
-    rest = methods.union(called).distinct().join(first, ["handler", "fqn"], "left_anti")
-    rows = first.withColumn("place", F.lit(0)).union(rest.withColumn("place", F.lit(1)))
+    rows = first.withColumn("place", F.lit(0)).union(rest.join(first, ["handler", "fqn"], "left_anti").withColumn("place", F.lit(1)))
     return top_k(rows, ["handler"], [F.col("place"), F.col("fqn")], most).select("handler", "fqn", "rank")
