@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from forkline.operators import modules
+import pytest
+
+from forkline.operators import graph, modules
+from forkline.plans import graph_queries
+from tests.conftest import SF
 
 
 def test_methods_of_a_class_are_listed_once(spark, monkeypatch):
@@ -20,3 +24,37 @@ def test_methods_of_a_class_are_listed_once(spark, monkeypatch):
     wanted = {(f"f{k:03}", fqn, rank) for k in range(n) for rank, fqn in enumerate(("c", "f000", "f001", "f002"), 1)}
     assert {tuple(r) for r in found} == wanted | {("g", "g", 1), ("g", "f000", 2)}
     assert sum(given) < 8 * n  # not n times n
+
+
+@pytest.mark.parametrize("odd", [None, "cast(null as long)", "-1L", "8000000000000000000L"])
+def test_shipments_are_numbers_where_these_hold_them(spark, tmp_path, odd):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_orderkey < 300")
+    if odd is not None:
+        lines = lines.selectExpr("* except (l_suppkey)", f"if(l_linenumber = 2, {odd}, l_suppkey) as l_suppkey")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges, name = graph_queries.shipments(spark, str(tmp_path))
+    assert (edges.schema["src"].dataType.typeName() == "long") == (odd is None)
+    rows = lines.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "concat_ws('/', l_partkey, l_suppkey, cast(l_quantity as long)) as name").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").collect()
+    wanted = {(a.name, b.name) for a, b in zip(rows, rows[1:]) if a.l_orderkey == b.l_orderkey and a.name != b.name}
+    assert {tuple(r) for r in edges.select(name("src"), name("dst")).collect()} == wanted
+
+
+def test_nodes_whose_head_is_known_leave_the_runs(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialised", lambda df, f=graph.materialised: (written.append(df), f(df))[1])
+    short = [(10 * k + p, 10 * k + p + 1) for k in range(50) for p in range(2)]
+    ring = [(-1, -2), (-2, -3), (-3, -1)]
+    long_ = [(k, k + 1) for k in range(1000, 1040)]
+    found = graph.unary_chains(spark.createDataFrame(short + ring + long_, "src long, dst long"))
+    assert {tuple(r) for r in found.collect()} == {(10 * k, 10 * k + p, p, 3) for k in range(50) for p in range(3)} | {(1000, 1000 + p, p, 41) for p in range(41)}
+    sizes = [df.count() for df in written]
+    assert sizes[0] == 143 and sizes[3] < 45 and len(sizes) < 10  # links; the long run and the ring; rings do not go round for ever
+
+
+def test_depths_move_waiting_nodes_alone(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialised", lambda df, f=graph.materialised: (written.append(df), f(df))[1])
+    pairs = [(2 * k, 2 * k + 1) for k in range(100)] + [(k, k + 1) for k in range(1000, 1005)] + [(5000, 5000), (1005, 5000)]
+    found = {r.node: r.depth for r in graph.longest_depth(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert found == {k: k % 2 for k in range(200)} | {1000 + p: p for p in range(6)} | {5000: 6}
+    assert sum(df.count() for df in written) < 207 + 106 + 30
