@@ -58,3 +58,14 @@ def test_depths_move_waiting_nodes_alone(spark, monkeypatch):
     found = {r.node: r.depth for r in graph.longest_depth(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     assert found == {k: k % 2 for k in range(200)} | {1000 + p: p for p in range(6)} | {5000: 6}
     assert sum(df.count() for df in written) < 207 + 106 + 30
+
+
+def test_closing_by_turns_looks_up_no_known_pair(spark, monkeypatch):
+    monkeypatch.setattr(graph, "transitive_closure", None)
+    pairs = {(k, d) for k in range(1, 40) for d in (2 * k, 2 * k + 1, 3 * k) if d < 80} | {(100, 101), (101, 100), (79, 100), (101, 102), (103, 103)}
+    far = {a: {d for s, d in pairs if s == a} for a in range(1, 104)}
+    for _ in range(80):
+        far = {a: ds | {x for d in ds for x in far[d]} for a, ds in far.items()}
+    df = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    assert {r.node: r.reach for r in graph.reach_sizes(df).collect()} == {a: len(ds) for a, ds in far.items() if ds}
+    assert {r.node: r.reach for r in graph.reach_sizes(df, itself=False).collect() if r.reach} == {a: len(ds - {a}) for a, ds in far.items() if ds - {a}}
