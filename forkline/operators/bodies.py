@@ -1,16 +1,16 @@
 """What a container shows: order, tails, head and kind of its body, and what is wrong with a structure.
 
 Rows ``contained`` are (node, container) as in ``containment``, edges (src, dst).  Only the order within one body, in which every step
-depends on the last, runs as a pandas group: the members of one container, with three numbers or names each.
+depends on the last, runs in Python: a row is the members of one container, with three numbers or names each, and many rows make a batch.
 """
 
 from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from forkline.operators.containment import descendants
 from forkline.operators.graph import bfs_levels
@@ -28,10 +28,10 @@ def inner_edges(contained: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").join(body.withColumnRenamed("node", "src"), "src").join(body.withColumnRenamed("node", "dst"), ["owner", "dst"]).select("owner", "src", "dst")
 
 
-def _ordered(group: pd.DataFrame) -> pd.DataFrame:
+def _ordered(body: list) -> list:
     """Members whose predecessors are placed, least (file, line, node) first; members of cycles come last in that order."""
-    key = dict(zip(group.node, zip(group.file, group.line, group.node)))
-    ahead = {node: [t for t in targets if t in key] for node, targets in zip(group.node, group.targets)}
+    key = {m.node: (m.file, m.line, m.node) for m in body}
+    ahead = {m.node: [t for t in m.targets if t in key] for m in body}
     waits = dict.fromkeys(key, 0)
     for targets in ahead.values():
         for t in targets:
@@ -46,8 +46,7 @@ def _ordered(group: pd.DataFrame) -> pd.DataFrame:
             waits[t] -= 1
             if waits[t] == 0:
                 heapq.heappush(ready, key[t])
-    order += [k[2] for k in sorted(key[n] for n in set(key) - set(order))]
-    return pd.DataFrame({"owner": group.owner.iloc[0], "node": order, "place": range(len(order))})
+    return order + [k[2] for k in sorted(key[n] for n in set(key) - set(order))]
 
 
 def body_order(contained: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
@@ -55,9 +54,11 @@ def body_order(contained: DataFrame, edges: DataFrame, places: DataFrame) -> Dat
     ship(contained.sparkSession)
     out = inner_edges(contained, edges).groupBy("owner", F.col("src").alias("node")).agg(F.collect_set("dst").alias("targets"))
     rows = members(contained).join(places.select("node", "file", "line"), "node", "left").join(out, ["owner", "node"], "left")
-    kind = contained.schema["node"].dataType.simpleString()
-    rows = rows.select("owner", "node", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("targets", F.array().cast(f"array<{kind}>")).alias("targets"))
-    return rows.groupBy("owner").applyInPandas(_ordered, f"owner {rows.schema['owner'].dataType.simpleString()}, node {kind}, place int")
+    kind = contained.schema["node"].dataType
+    targets = F.coalesce("targets", F.array().cast(ArrayType(kind))).alias("targets")
+    body = F.collect_list(F.struct("node", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"), targets))
+    order = F.udf(_ordered, ArrayType(kind), useArrow=True)
+    return rows.groupBy("owner").agg(body.alias("body")).select("owner", F.posexplode(order("body")).alias("place", "node")).select("owner", "node", "place")
 
 
 def body_tails(contained: DataFrame, edges: DataFrame) -> DataFrame:
