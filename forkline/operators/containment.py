@@ -93,9 +93,13 @@ def batches(rows: DataFrame, group: str, key: str, size: int = 20) -> DataFrame:
 
 
 def arm_reach(arms: DataFrame, utilities: DataFrame) -> DataFrame:
-    """Components that an arm (site, idx, owner, component: a row each) reaches beside utilities (component) and its owner's own: site, idx, n."""
-    left = arms.where("component <> owner").join(utilities.select("component"), "component", "left_anti").groupBy("site", "idx").agg(F.countDistinct("component").alias("n"))
-    return arms.select("site", "idx").distinct().join(left, ["site", "idx"], "left").select("site", "idx", F.coalesce("n", F.lit(0)).alias("n"))
+    """Components that an arm (site, idx, owner, component: a row each) reaches beside utilities (component) and its owner's own: site, idx, n.
+
+    Arms that are dealt by site stay where they are; one pass counts, and an arm's components are a set in its row.
+    """
+    known = utilities.select("component", F.lit(True).alias("utility")).where("component is not null").distinct()
+    told = F.when((F.col("component") != F.col("owner")) & F.col("utility").isNull(), F.col("component"))
+    return arms.join(known, "component", "left").groupBy("site", "idx").agg(F.count_distinct(told).alias("n"))
 
 
 def trivial_groups(entries: DataFrame, edges: DataFrame, telling: DataFrame) -> DataFrame:

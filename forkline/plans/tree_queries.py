@@ -5,13 +5,13 @@ Parts are nodes: part k lies in part k div 4 (in none where that is 0) and is ca
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forkline.operators import containment as C
 from forkline.operators import repointing as R
 from forkline.operators.graph import bfs_levels
-from forkline.session import materialised, tables
+from forkline.session import dealt, materialised, tables
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +69,8 @@ def label_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arm_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sites, return flags as arms, suppliers as components; those of three nations are utilities, the first of an order its owner."""
-    items = tables(spark, sf_dir, "lineitem")
-    owner = items.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("owner"))
-    arms = items.join(owner, "l_orderkey").select(F.col("l_orderkey").alias("site"), F.col("l_returnflag").alias("idx"), "owner", F.col("l_suppkey").alias("component"))
+    items = dealt(tables(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_returnflag").alias("idx"), F.col("l_suppkey").alias("component")), "site")
+    arms = items.where("site is not null").withColumn("owner", F.min("component").over(Window.partitionBy("site")))
     return C.arm_reach(arms, tables(spark, sf_dir, "supplier").where("s_nationkey < 3").select(F.col("s_suppkey").alias("component")))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from forkline.operators import graph, modules
+from forkline.operators import bodies, containment, graph, modules
 from forkline.plans import graph_queries
+from forkline.session import dealt, materialised
 from tests.conftest import SF
 
 
@@ -69,3 +70,27 @@ def test_closing_by_turns_looks_up_no_known_pair(spark, monkeypatch):
     df = spark.createDataFrame(sorted(pairs), "src long, dst long")
     assert {r.node: r.reach for r in graph.reach_sizes(df).collect()} == {a: len(ds) for a, ds in far.items() if ds}
     assert {r.node: r.reach for r in graph.reach_sizes(df, itself=False).collect() if r.reach} == {a: len(ds - {a}) for a, ds in far.items() if ds - {a}}
+
+
+def test_bodies_are_ordered_in_batches(spark):
+    contained = spark.createDataFrame([(k, k // 4) for k in range(4, 400)] + [(1, None)], "node long, container long")
+    edges = spark.createDataFrame([(4 * k + 3, 4 * k) for k in range(1, 100)] + [(9, 10), (10, 9)], "src long, dst long")
+    found = bodies.body_order(contained, edges, contained.selectExpr("node", "cast(null as string) as file", "cast(null as long) as line"))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()  # a frame for each body
+    wanted = {(k, 4 * k + m, place) for k in range(1, 100) for place, m in enumerate((1, 2, 3, 0))} - {(2, 8 + m, p) for p, m in enumerate((1, 2, 3, 0))}
+    assert {tuple(r) for r in found.collect()} == wanted | {(2, 11, 0), (2, 8, 1), (2, 9, 2), (2, 10, 3)}
+
+
+def test_tasks_grow_in_number_with_the_rows(spark):
+    rows = spark.range(1000).selectExpr("id % 100 as key", "id")
+    assert dealt(rows, "key", 10).rdd.getNumPartitions() == 100
+    assert dealt(rows, "key").rdd.getNumPartitions() == 4
+
+
+def test_arms_are_counted_where_their_sites_lie(spark):
+    rows = [(1, "a", 5, 5), (1, "a", 5, 6), (1, "a", 5, 6), (1, "a", 5, 7), (1, "b", 5, 9), (2, "a", 5, None), (2, None, 5, 8), (3, "a", None, 8)]
+    arms = dealt(spark.createDataFrame(rows, "site long, idx string, owner long, component long"), "site")
+    found = containment.arm_reach(arms, materialised(spark.createDataFrame([(9,), (None,), (9,)], "component long")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(site") == 1  # arms move once
+    assert {tuple(r) for r in found.collect()} == {(1, "a", 2), (1, "b", 0), (2, "a", 0), (2, None, 1), (3, "a", 0)}
