@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
-from forkline.operators import bodies, containment, graph, modules
+from forkline.operators import bodies, containment, folding, graph, modules, slicing
 from forkline.plans import graph_queries
 from forkline.session import dealt, materialised
 from tests.conftest import SF
@@ -94,3 +96,19 @@ def test_arms_are_counted_where_their_sites_lie(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(site") == 1  # arms move once
     assert {tuple(r) for r in found.collect()} == {(1, "a", 2), (1, "b", 0), (2, "a", 0), (2, None, 1), (3, "a", 0)}
+
+
+@pytest.mark.parametrize("name", ["sole_children", "run_hosts"])
+def test_slices_do_not_pass_through_the_driver(spark, monkeypatch, name):
+    plans = []
+    for module in (slicing, folding, graph):
+        monkeypatch.setattr(module, "materialised", lambda df, f=module.materialised: (plans.append(df), f(df))[1])
+    parts = spark.range(1, 61).selectExpr("id as node", "id % 3 as entry")
+    edges = parts.selectExpr("entry", "node as source", "node + 3 as target", "'sequence' as kind").where("target <= 60")
+    if name == "run_hosts":
+        plans.append(folding.run_hosts(parts.selectExpr("entry", "node", "node <= 3 as root"), edges, parts.where("node % 30 = 0").select("entry", "node"), floor=1))
+    else:
+        plans.append(folding.sole_children(parts.selectExpr("node % 3 as entry", "node"), edges.drop("entry"), parts.where("node % 4 <> 0").select("entry", "node")))
+    assert plans[-1].count() > 0
+    large = [p for df in plans for p in df._jdf.queryExecution().executedPlan().toString().split("\n") if re.search(r"BroadcastHashJoin \[(?!entry#\d+L?\])", p) and "key" not in p]
+    assert len(plans) > 3 and not large  # slices' sizes and roots are a row each
