@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from forkline.operators import bodies, containment, folding, graph, modules, slicing
+from forkline.operators import bodies, containment, folding, graph, modules, slicing, summaries
 from forkline.plans import graph_queries
 from forkline.session import dealt, materialised
 from tests.conftest import SF
@@ -112,3 +112,13 @@ def test_slices_do_not_pass_through_the_driver(spark, monkeypatch, name):
     assert plans[-1].count() > 0
     large = [p for df in plans for p in df._jdf.queryExecution().executedPlan().toString().split("\n") if re.search(r"BroadcastHashJoin \[(?!entry#\d+L?\])", p) and "key" not in p]
     assert len(plans) > 3 and not large  # slices' sizes and roots are a row each
+
+
+def test_who_leads_to_a_place_is_looked_for_among_the_rest(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(summaries, "materialised", lambda df, f=summaries.materialised: (written.append(df), f(df))[1])
+    pairs = [(k, k + 1) for k in range(200)] + [(1000, 1001), (1001, 1002), (1002, 1000), (2000, 2001)]
+    start = list(range(198)) + [1000]
+    found = summaries.led_to(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(k,) for k in start], "node long"))
+    assert sorted(r.node for r in found.collect()) == sorted({*range(201), 1000, 1001, 1002})
+    assert sum(df.count() for df in written[1:]) < 30  # edges to what is known by the start are gone
