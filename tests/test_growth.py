@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from forkline.operators import bodies, containment, folding, graph, modules, slicing, summaries
+from forkline.operators import bodies, condensing, containment, folding, graph, modules, slicing, summaries
 from forkline.plans import graph_queries
 from forkline.session import dealt, materialised
 from tests.conftest import SF
@@ -122,3 +122,14 @@ def test_who_leads_to_a_place_is_looked_for_among_the_rest(spark, monkeypatch):
     found = summaries.led_to(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(k,) for k in start], "node long"))
     assert sorted(r.node for r in found.collect()) == sorted({*range(201), 1000, 1001, 1002})
     assert sum(df.count() for df in written[1:]) < 30  # edges to what is known by the start are gone
+
+
+def test_what_nothing_lies_in_is_not_walked(spark, monkeypatch):
+    """Of 300 leaves in a chain of five none is written with the containers that requests are tried against."""
+    written = []
+    monkeypatch.setattr(condensing, "materialised", lambda df, f=condensing.materialised: (written.append(df), f(df))[1])
+    edges = [(f"leaf{k}", f"n{k % 5}") for k in range(300)] + [(f"n{k}", f"n{k + 1}") for k in range(4)]
+    asked = [("n4", "n0", "a"), ("n4", "x", "b"), ("n2", "leaf7", "c"), ("y", "n1", "d")]
+    found = condensing.safely_placed(spark.createDataFrame(edges, "node string, container string"), spark.createDataFrame(asked, "node string, start string, key string"))
+    assert {tuple(r) for r in found.collect()} == {("n4", "x"), ("y", "n1")}  # all above leaf7 lies in n2 or is it
+    assert max(df.count() for df in written) < 30
