@@ -7,13 +7,21 @@ may be carried by putting them into the keys.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forkline.session import bucketed, materialised
+from forkline.session import bucketed, materialised, ship
 
 #: Rounds of HITS from one scaling to the next: 10 sums of products, so that degrees of 10^20 would still be in range.
 UNSCALED = 5
+#: Edges of a component that one task holds at most, about 50 bytes each.
+WHOLE = 2_000_000
 
 
 def transitive_closure(edges: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -225,31 +233,79 @@ def hits(edges: DataFrame, iterations: int = 50, digits: int = 6) -> DataFrame:
     """Hub and authority of weighted edges (src, dst, weight of zero or more), after one round or more: node, hub, authority.
 
     Authority is the weighted sum of hubs, a hub the weighted sum of the new authorities; both are scaled to a sum of one (left
-    as they are if the sum is not positive).  A round is linear, so that scaling waits for the table that ends each ``UNSCALED``
-    rounds: their scores stay far below what a double can hold.  Rounded half to even.  Nodes are numbered and edges lie in
-    buckets by dst, so that a round joins them twice without a shuffle as long as the hubs are few enough for Spark to broadcast.
+    as they are if the sum is not positive).  A round is linear and no edge leads out of a connected component, so that scaling waits
+    for the end and components are looked at by themselves: those of at most ``WHOLE`` edges go through all rounds in one job,
+    larger ones through loops over tables.  Every ``UNSCALED`` rounds powers of two are set aside, which are brought together last.
+    Rounded half to even.
     """
-    nodes = materialised(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
-    ids = materialised(nodes.withColumn("id", F.monotonically_increasing_id()))
-    end = lambda c: ids.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
-    numbered = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).join(end("src"), "src").join(end("dst"), "dst")
-    step = bucketed(numbered.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "weight"), "dst")
-
-    def scaled(scores: DataFrame, name: str) -> Column:
-        total = scores.agg(F.sum(name)).scalar()
-        return F.when(total > 0, F.col(name) / total).otherwise(F.col(name))
-
-    hub = materialised(step.select("src").distinct().withColumn("hub", F.lit(1.0)))
+    edges = materialised(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    known = edges.where("src is not null and dst is not null and weight is not null")
+    # whoever leads to a node is linked by the least of them, and there are few of these
+    near = materialised(known.groupBy("dst").agg(F.min("src").alias("near")))
+    linked = known.join(near, "dst").select("src", F.col("near").alias("dst")).union(near.select("dst", "near")).distinct()
+    labels = connected_components(linked).select(F.col("node").alias("src"), "component")
+    large = materialised(known.groupBy("src").agg(F.count("*").alias("n")).join(labels, "src").groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") > WHOLE).select("component"))
+    placed = known.join(labels, "src")
+    ship(edges.sparkSession)
+    within = placed.join(F.broadcast(large), "component", "left_anti").groupBy("component")
+    raw = within.applyInArrow(_hits_within(iterations), f"node {edges.schema['src'].dataType.simpleString()}, hub double, hub_bits long, authority double, authority_bits long")
+    if not large.isEmpty():
+        raw = raw.unionByName(_spread_hits(placed.join(F.broadcast(large), "component", "left_semi"), iterations))
+    raw = materialised(raw)
+    most = raw.agg(*[F.max(F.when(F.col(c) > 0, F.col(f"{c}_bits"))).alias(f"{c}_most") for c in ("hub", "authority")])
+    value = lambda c: F.coalesce(F.col(c) * F.pow(F.lit(2.0), F.col(f"{c}_bits") - F.col(f"{c}_most")), F.lit(0.0)).alias(c)
+    found = raw.crossJoin(F.broadcast(most)).select(F.col("node").alias("known"), value("hub"), value("authority"))
+    even = materialised(nodes.join(found, nodes.node == found.known, "left").fillna(0.0, ["hub", "authority"]))
+
+    def scaled(name: str) -> Column:
+        total = even.agg(F.sum(name)).scalar()
+        return F.bround(F.when(total > 0, F.col(name) / total).otherwise(F.col(name)), digits).alias(name)
+
+    return even.select("node", scaled("hub"), scaled("authority"))
+
+
+def _hits_within(iterations: int) -> Callable[[pa.Table], pa.Table]:
+    """All rounds over the edges of one component; values are to be multiplied by two to the power of their bits."""
+
+    def run(edges: pa.Table) -> pa.Table:
+        coded = [edges.column(c).combine_chunks().dictionary_encode() for c in ("src", "dst")]
+        (sources, s), (targets, d) = ((c.dictionary, c.indices.to_numpy()) for c in coded)
+        weight, hub, bits = edges.column("weight").to_numpy(), np.ones(len(sources)), 0
+        for k in range(iterations):
+            if k % UNSCALED == 0:
+                more = math.frexp(hub.max())[1]
+                hub, bits = np.ldexp(hub, -more), bits + more
+            authority = np.bincount(d, weight * hub[s], len(targets))
+            hub = np.bincount(s, weight * authority[d], len(sources))
+        nodes = pa.concat_arrays([sources, targets]).unique()
+        found = {"node": nodes}
+        for name, of, values in (("hub", sources, hub), ("authority", targets, authority)):
+            more, even = math.frexp(values.max())[1], np.zeros(len(nodes))
+            even[pc.index_in(of, nodes).to_numpy()] = np.ldexp(values, -more)
+            found |= {name: even, f"{name}_bits": np.full(len(nodes), bits + more)}
+        return pa.table(found)
+
+    return run
+
+
+def _spread_hits(edges: DataFrame, iterations: int) -> DataFrame:
+    """The same of components of any size, round by round: edges lie in buckets by dst, so that a round joins them twice without a
+    shuffle as long as the hubs are few enough for Spark to broadcast."""
+    step = bucketed(edges.select("src", "dst", "weight"), "dst")
+    hub, bits = materialised(step.select("src").distinct().withColumn("hub", F.lit(1.0))), 0
+    bits_of = lambda scores, name: math.frexp(scores.agg(F.max(name)).first()[0] or 0.0)[1]
     for k in range(iterations):
         if k % UNSCALED == 0 and k:
-            hub = hub.withColumn("hub", scaled(hub, "hub"))
+            more = bits_of(hub, "hub")
+            hub, bits = hub.withColumn("hub", F.col("hub") * 2.0**-more), bits + more
         authority = step.join(hub, "src").groupBy("dst").agg(F.sum(F.col("weight") * F.col("hub")).alias("authority"))
         if k + 1 == iterations:
             authority = materialised(authority)
         hub = materialised(step.join(authority.hint("shuffle_hash"), "dst").groupBy("src").agg(F.sum(F.col("weight") * F.col("authority")).alias("hub")))
-    raw = ids.join(authority.withColumnRenamed("dst", "id"), "id", "left").join(hub.withColumnRenamed("src", "id"), "id", "left")
-    raw = materialised(raw.fillna(0.0, ["hub", "authority"]))
-    return raw.select("node", F.bround(scaled(raw, "hub"), digits).alias("hub"), F.bround(scaled(raw, "authority"), digits).alias("authority"))
+    both = hub.withColumnRenamed("src", "node").join(authority.withColumnRenamed("dst", "node"), "node", "full")
+    even = lambda name, more: [(F.coalesce(name, F.lit(0.0)) * 2.0**-more).alias(name), F.lit(bits + more).cast("long").alias(f"{name}_bits")]
+    return both.select("node", *even("hub", bits_of(hub, "hub")), *even("authority", bits_of(authority, "authority")))
 
 
 def edge_contract(edges: DataFrame, hosts: DataFrame) -> DataFrame:

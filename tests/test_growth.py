@@ -10,6 +10,7 @@ from forkline.operators import bodies, condensing, containment, folding, graph,
 from forkline.plans import graph_queries
 from forkline.session import dealt, materialised
 from tests.conftest import SF
+from tests.test_whole import plain_hits
 
 
 def test_methods_of_a_class_are_listed_once(spark, monkeypatch):
@@ -133,3 +134,17 @@ def test_what_nothing_lies_in_is_not_walked(spark, monkeypatch):
     found = condensing.safely_placed(spark.createDataFrame(edges, "node string, container string"), spark.createDataFrame(asked, "node string, start string, key string"))
     assert {tuple(r) for r in found.collect()} == {("n4", "x"), ("y", "n1")}  # all above leaf7 lies in n2 or is it
     assert max(df.count() for df in written) < 30
+
+
+@pytest.mark.parametrize("whole", [graph.__dict__.get("WHOLE"), 5, 0])
+def test_hits_of_a_component_are_one_job(spark, monkeypatch, whole):
+    written = []
+    monkeypatch.setattr(graph, "WHOLE", whole, raising=False)
+    monkeypatch.setattr(graph, "materialised", lambda df, f=graph.materialised: (written.append(df), f(df))[1])
+    edges = [(f"s{a}", f"p{b}", w) for a, b, w in [(1, 1, 2), (1, 2, 1), (2, 2, 1), (2, 3, 4), (3, 3, 1), (3, 1, 3), (4, 4, 5), (4, 5, 2), (5, 5, 6), (6, 6, 9)]] + [("x", "y", 3), ("y", "z", 1), ("z", "z", 0)]
+    odd = [("null", None, 1.0), ("none", "p1", None)]
+    found = {r.node: (r.hub, r.authority) for r in graph.hits(spark.createDataFrame([(a, b, float(w)) for a, b, w in edges] + odd, "src string, dst string, weight double"), 12).collect()}
+    wanted = plain_hits(edges, 12) | {"null": (0, 0), "none": (0, 0), None: (0, 0)}
+    assert found.keys() == wanted.keys() and all(abs(x - y) < 2e-6 for n in wanted for x, y in zip(found[n], wanted[n]))
+    if whole and whole > 5:
+        assert len(written) < 12  # tables of the labels; none of a round
