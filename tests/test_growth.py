@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -148,3 +149,31 @@ def test_hits_of_a_component_are_one_job(spark, monkeypatch, whole):
     assert found.keys() == wanted.keys() and all(abs(x - y) < 2e-6 for n in wanted for x, y in zip(found[n], wanted[n]))
     if whole and whole > 5:
         assert len(written) < 12  # tables of the labels; none of a round
+
+
+@pytest.mark.parametrize("whole", [graph.__dict__.get("WHOLE"), 40, 0])
+def test_what_walks_meet_is_not_written(spark, monkeypatch, whole):
+    written, r = [], random.Random(11)
+    monkeypatch.setattr(graph, "WHOLE", whole, raising=False)
+    monkeypatch.setattr(graph, "WALKS", 2, raising=False)
+    monkeypatch.setattr(graph, "materialised", lambda df, f=graph.materialised: (written.append(df), f(df))[1])
+    pairs = {(r.randrange(60), r.randrange(60)) for _ in range(240)} | {(100 + r.randrange(20), 100 + r.randrange(20)) for _ in range(35)}
+    names = {n: f"a{'!b' if n == 7 and whole == 40 else ''}{n}" for p in pairs for n in p}  # "!" comes before the comma
+    shown = {n for n in names if n % 5 == 0}
+    wanted = {}
+    for source in shown:
+        layer = {b: names[b] for a, b in pairs if a == source and b not in shown}
+        for hops in range(1, 5):
+            for at, path in layer.items():
+                for end in (b for a, b in pairs if a == at and b in shown and b != source and (source, b) not in pairs):
+                    wanted[source, end] = min(wanted.get((source, end), (hops, path)), (hops, path))
+            ahead = {}
+            for at, path in layer.items():
+                for b in (b for a, b in pairs if a == at and b not in shown):
+                    ahead[b] = min(ahead.get(b, f"{path},{names[b]}"), f"{path},{names[b]}")
+            layer = ahead
+    edges = spark.createDataFrame([(names[a], names[b]) for a, b in sorted(pairs)], "src string, dst string")
+    found = graph.hidden_paths(edges, spark.createDataFrame([(names[n],) for n in shown], "node string"), 4).collect()
+    assert len(found) == len(wanted) > 60 and {(x.src, x.dst): (x.hops, x.path) for x in found} == {(names[a], names[b]): v for (a, b), v in wanted.items()}
+    if whole and whole > 40:
+        assert not [df for df in written if "path" in df.columns]
