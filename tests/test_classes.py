@@ -69,3 +69,18 @@ def test_hidden_paths_stop_where_all_is_met(spark, monkeypatch):
     found = graph.hidden_paths(edges, spark.createDataFrame([(1,), (2,), (3,), (4,)], "node long"))
     assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 1, "11"), (2, 1, 1, "11"), (3, 4, 2, "31,32")]
     assert sum(c == ["src", "at", "path"] for c in written) <= 3  # the first, the second and an empty one
+
+
+def test_no_pair_of_a_class_is_made_in_vain(spark, monkeypatch):
+    monkeypatch.setattr(relations, "PACK", 7)
+    members = spark.createDataFrame([(k % 3, (k * 37) % 90) for k in range(90)] + [(9, 1000)], "class long, member long")
+    packs = relations.packed(members).orderBy("class", "pack").collect()
+    for c in (0, 1, 2, 9):
+        arrays = [r.members for r in packs if r["class"] == c]
+        assert all(len(a) <= 7 for a in arrays) and sum(arrays, []) == sorted(sum(arrays, []))  # packs of a class do not overlap
+    made, multiplied = [], relations._multiplied
+    monkeypatch.setattr(relations, "_multiplied", lambda facing: (made.append(multiplied(facing)), made[-1])[1])
+    found = sorted(tuple(p) for p in relations.member_pairs(members).collect())
+    of = {(k * 37) % 90: k % 3 for k in range(90)}
+    assert found == [(a, b) for a in range(90) for b in range(a + 1, 90) if of[a] == of[b]]
+    assert made[0].where("a >= b").isEmpty()
