@@ -177,3 +177,19 @@ def test_what_walks_meet_is_not_written(spark, monkeypatch, whole):
     assert len(found) == len(wanted) > 60 and {(x.src, x.dst): (x.hops, x.path) for x in found} == {(names[a], names[b]): v for (a, b), v in wanted.items()}
     if whole and whole > 40:
         assert not [df for df in written if "path" in df.columns]
+
+
+@pytest.mark.parametrize("rest", [graph.__dict__.get("REST"), 60, 0])
+def test_a_small_rest_of_a_graph_costs_no_rounds(spark, monkeypatch, rest):
+    written, r = [], random.Random(12)
+    monkeypatch.setattr(graph, "REST", rest, raising=False)
+    monkeypatch.setattr(graph, "materialised", lambda df, f=graph.materialised: (written.append(df), f(df))[1])
+    pairs = {(r.randrange(40), r.randrange(40)) for _ in range(55)} | {(k, k + 1) for k in range(100, 130)} | {(200, 201), (201, 200), (201, 202)}
+    far = {a: {b for s, b in pairs if s == a} for p in pairs for a in p}
+    for _ in range(7):
+        far = {a: bs | {c for b in bs for c in far[b]} for a, bs in far.items()}
+    same = {a: {b for b in bs if a in far[b]} | {a} for a, bs in far.items()}
+    found = {x.node: x.component for x in graph.strong_components(spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()}
+    assert found == {a: min(bs) for a, bs in same.items() if len(bs) > 1} and len(found) > 4
+    if rest and rest > 60:
+        assert len(written) == 1
